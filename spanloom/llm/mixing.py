@@ -32,7 +32,7 @@ BINS = 512
 
 def letter_share(text: Column) -> Column:
     """Quality weight of a text: its share of letters, at least LEAST_QUALITY."""
-    share = F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / F.length(text)
+    share = F.try_divide(F.length(F.regexp_replace(text, r"[^\p{L}]+", "")), F.length(text))
     return F.greatest(F.lit(LEAST_QUALITY), F.coalesce(share, F.lit(0.0)))
 
 
