@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, html_text, language_id, mixing, packing, quality, secret_scan, vector_search
+from spanloom.llm import exact_dedup, html_text, language_id, mixing, near_dedup, packing, quality, secret_scan, vector_search
 from spanloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -43,4 +47,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_best_fit_packing, op4_quality, op5_html_text, op7_language_id, op8_secret_scan, op9_vector_search, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_best_fit_packing, op4_quality, op5_html_text, op6_near_dedup, op7_language_id, op8_secret_scan, op9_vector_search, op10_exact_dedup)}
