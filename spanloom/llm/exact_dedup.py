@@ -15,58 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import fresh, next_power, settle
-
-#: Slots of one page of the filter: what `bitmap_construct_agg` holds in 4 KB.
-PAGE = 32_768
-
+from spanloom.llm.bloom import flagged, repeat_filter
+from spanloom.llm.common import fresh, settle
 
 def digest(text: Column) -> Column:
     """SHA-256 of a text's UTF-8 bytes, in lower-case hex; null as the empty text."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def _probes(of: Column, pages: int) -> tuple[Column, list[Column]]:
-    """The page a hash belongs to and its two slots there."""
-    a, b = F.xxhash64(of), F.xxhash64(of, F.lit(1))
-    return F.pmod(a, F.lit(pages)), [F.pmod(F.shiftrightunsigned(b, n), F.lit(PAGE)).cast("int") for n in (0, 24)]
-
-
-def repeat_filter(hashes: DataFrame, col: str, slots_per_row: int = 16, max_slots: int = 1 << 27) -> tuple[DataFrame, int]:
-    """Pages (page, bits) of the slots reached at least twice, and the number of pages.
-
-    The filter takes max_slots / 8 bytes at most (16 MB), which bounds the broadcast at any size of input. Beyond
-    max_slots / slots_per_row rows it only fills up: more rows are then shuffled, and none is treated wrongly.
-    """
-    pages = next_power(hashes.count() * slots_per_row, PAGE, max_slots) // PAGE
-    page, slots = _probes(F.col(col), pages)
-    # A row's two slots may coincide; array_distinct keeps such a row from reaching a slot twice by itself.
-    reached = hashes.select(page.alias("page"), F.explode(F.array_distinct(F.array(*slots))).alias("slot")).groupBy("page", "slot").agg(F.count("*").alias("n"))
-    twice = reached.where("n > 1").select("page", F.expr("bitmap_bit_position(slot + 1L)").alias("at"))
-    return twice.groupBy("page").agg(F.expr("bitmap_construct_agg(at)").alias("bits")), pages
-
-
-def _bit(bits: Column, slot: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, F.floor(slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.pmod(slot, F.lit(8)) + 1)) > 0
-
-
-def _flagged(df: DataFrame, hash_col: str, filter_pages: DataFrame, pages: int, flag: str) -> DataFrame:
-    """df with a boolean column: whether the row's text is possibly repeated."""
-    page_col, bits_col = fresh(df, "page", "bits")
-    page, slots = _probes(F.col(hash_col), pages)
-    joined = df.withColumn(page_col, page).join(F.broadcast(filter_pages.toDF(page_col, bits_col)), page_col, "left")
-    hit = F.coalesce(_bit(F.col(bits_col), slots[0]) & _bit(F.col(bits_col), slots[1]), F.lit(False))
-    return joined.withColumn(flag, hit).drop(page_col, bits_col)
-
-
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, max_slots: int = 1 << 27) -> DataFrame:
     """One row per row of df: id, keep_id (largest id of the group), group_size, kept, text_sha256."""
     rows = settle(df.select(F.col(id_col).alias("id"), F.unhex(digest(F.col(text_col))).alias("hash")))
     bits, pages = repeat_filter(rows, "hash", slots_per_row, max_slots)
-    flagged = settle(_flagged(rows, "hash", settle(bits), pages, "maybe"))
-    alone = flagged.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
-    same = flagged.where("maybe").groupBy("hash", "id").agg(F.count("*").alias("copies"))
+    marked = settle(flagged(rows, "hash", settle(bits), pages, "maybe"))
+    alone = marked.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
+    same = marked.where("maybe").groupBy("hash", "id").agg(F.count("*").alias("copies"))
     groups = same.groupBy("hash").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     dealt = same.join(groups, "hash").select("*", copy.alias("copy")).select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "hash")
@@ -78,7 +41,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     hash_col, flag = fresh(df, "hash", "maybe")
     hashes = settle(df.select(F.unhex(digest(F.col(text_col))).alias(hash_col)))
     bits, pages = repeat_filter(hashes, hash_col, slots_per_row, max_slots)
-    flagged = _flagged(df.withColumn(hash_col, F.unhex(digest(F.col(text_col)))), hash_col, settle(bits), pages, flag)
+    marked = flagged(df.withColumn(hash_col, F.unhex(digest(F.col(text_col)))), hash_col, settle(bits), pages, flag)
     row, order = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(F.col(id_col).isNotNull(), F.col(id_col))
-    kept = flagged.where(F.col(flag)).groupBy(hash_col).agg(F.max_by(row, order).alias(flag)).select(f"{flag}.*")
-    return flagged.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(kept)
+    kept = marked.where(F.col(flag)).groupBy(hash_col).agg(F.max_by(row, order).alias(flag)).select(f"{flag}.*")
+    return marked.where(~F.col(flag)).select(*[F.col(f"`{c}`") for c in df.columns]).unionByName(kept)

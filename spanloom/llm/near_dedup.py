@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.bloom import maybe_in
 from spanloom.llm.common import fresh, settle
 from spanloom.llm.shingles import mixed, shingles
 
@@ -150,7 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, n (set size), node (digest of the set; null if empty), registers."""
+    """id, check (CRC-32 of the text), n (set size), node (digest of the set; null if empty), registers."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +161,10 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                 sizes.append(len(own))
                 nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 registers.append(sketch(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(registers, pa.binary())], ["id", "n", "node", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("check"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(registers, pa.binary())], ["id", "check", "n", "node", "registers"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(make, "id long, n long, node binary, registers binary")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), check(F.col(text_col)).alias("check"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(make, "id long, check long, n long, node binary, registers binary")
 
 
 def families(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -199,7 +201,9 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
     sums = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
     placed = members.join(sums, "root")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.least(F.col("members"), F.ceil(F.col("total") / BLOCK_SHINGLES)))
-    texts = df.select(row_name(F.col(id_col)).alias("name"), F.col(text_col).alias("text")).join(placed, "name")
+    named = df.select(row_name(F.col(id_col)).alias("name"), F.col(text_col).alias("text"))
+    # Texts of no member stay where they are, but for what the filter's bounded size lets through.
+    texts = maybe_in(named, "name", members, "name", "maybe").where("maybe").join(placed, "name")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,8 +264,12 @@ def row_name(id_: Column) -> Column:
     return F.coalesce(id_.cast("long").cast("string"), F.lit("null"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id, kept."""
+def check(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def judged(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """One row per row of df: id, check, n, component_id, kept."""
     rows = settle(sketches(df, id_col, text_col, width))
     nodes = settle(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers")))
     near = components(families(nodes.select("node", "n", "registers"), percent / 100))
@@ -270,12 +278,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = nodes.select("node", "id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = settle(found.groupBy("root").agg(F.min("id").alias("component_id")))
     named = settle(found.select("node", "root").join(ids, "root").select("node", "component_id"))
-    out = rows.select("id", "n", "node").join(named, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.select("id", "check", "n", "node").join(named, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
+    return out.select("id", "check", "n", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of df: id, n_shingles, component_id, kept."""
+    return judged(df, id_col, text_col, width, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """df without the rows that another one of their component stands for; all columns stay."""
-    name = fresh(df, "name")[0]
-    gone = settle(near_duplicates(df, id_col, text_col, width, percent).where("not kept").select(row_name(F.col(id_col)).alias(name)).distinct())
-    return df.withColumn(name, row_name(F.col(id_col))).join(gone, name, "left_anti").drop(name)
+    """df without the rows that another one of their component stands for; all columns stay. A row is known by its id
+    and its text's checksum. Texts are shuffled only where the filter of those that go may hold them."""
+    name, flag = fresh(df, "name", "maybe")
+    known = lambda id_, sum_: F.concat_ws(":", row_name(id_), sum_.cast("string"))
+    gone = settle(judged(df, id_col, text_col, width, percent).where("not kept").select(known(F.col("id"), F.col("check")).alias(name)).distinct())
+    marked = maybe_in(df.withColumn(name, known(F.col(id_col), check(F.col(text_col)))), name, gone, name, flag)
+    left = marked.where(F.col(flag)).join(gone, name, "left_anti")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(~F.col(flag)).select(*columns).unionByName(left.select(*columns))

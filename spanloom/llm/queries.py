@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, html_text, language_id, mixing, near_dedup, packing, quality, secret_scan, vector_search
+from spanloom.llm import exact_dedup, html_text, language_id, mixing, near_dedup, packing, quality, repeats, secret_scan, vector_search
 from spanloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,4 +51,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_best_fit_packing, op4_quality, op5_html_text, op6_near_dedup, op7_language_id, op8_secret_scan, op9_vector_search, op10_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mixing, op2_best_fit_packing, op3_repeats, op4_quality, op5_html_text, op6_near_dedup, op7_language_id, op8_secret_scan, op9_vector_search, op10_exact_dedup)}

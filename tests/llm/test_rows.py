@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanloom.llm import exact_dedup, mixing, packing, secret_scan
+from spanloom.llm import bloom, exact_dedup, mixing, packing, secret_scan
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -162,7 +162,7 @@ def test_copies(documents, odd, nothing):
 
 
 def test_full_filter_changes_nothing(documents):
-    few = exact_dedup.exact_duplicates(documents, max_slots=exact_dedup.PAGE, slots_per_row=1)
+    few = exact_dedup.exact_duplicates(documents, max_slots=bloom.PAGE, slots_per_row=1)
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in exact_dedup.exact_duplicates(documents).collect()}
 
 
