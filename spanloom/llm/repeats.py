@@ -88,25 +88,33 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of each text."""
-    for batch in batches:
-        ids, checks, parts = batch.column("id").to_pylist(), batch.column("check").to_pylist(), [anchors(np.frombuffer(t.as_py().encode(), "uint8")) for t in batch.column("text")]
-        sizes = [len(p[0]) for p in parts]
-        owner = pa.array(np.repeat(np.arange(len(ids)), sizes))
-        joined = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, "int64") for k in range(5)]
-        arrays = [pa.array(ids, pa.int64()).take(owner), pa.array(checks, pa.int64()).take(owner), *(pa.array(x.astype(t)) for x, t in zip(joined[:3], ("int64", "int16", "int16"))), *(pa.array(x.view("int64")) for x in joined[3:])]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "check", "place", "low", "high", "gram", "span"])
+    for whole in batches:
+        for at in range(0, len(whole), TOGETHER):
+            batch = whole.slice(at, TOGETHER)
+            parts = [anchors(np.frombuffer(t.as_py().encode(), "uint8")) for t in batch.column("text")]
+            owner = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+            joined = [np.concatenate([p[k] for p in parts]) for k in range(5)]
+            arrays = [*(batch.column(c).take(owner) for c in ROW), *(pa.array(x.astype(t)) for x, t in zip(joined[:3], ("int64", "int16", "int16"))), *(pa.array(x.view("int64")) for x in joined[3:])]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "check", "place", "low", "high", "gram", "span"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The string around each open suffix."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary())
+    out: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["id", "check", "place", "low", "high", "gram", "around"])
+
     for batch in batches:
-        out: list[tuple] = []
         for id_, check, text, parts in zip(*(batch.column(c) for c in ("id", "check", "text", "parts"))):
-            raw = text.as_py().encode()
+            raw, name = text.as_py().encode(), (id_.as_py(), check.as_py())
             for p in parts.as_py():
-                out.append((id_.as_py(), check.as_py(), p["place"], p["low"], p["high"], p["gram"], raw[p["place"] + p["low"] : p["place"] + p["high"] + LENGTH]))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["id", "check", "place", "low", "high", "gram", "around"])
+                out.append((*name, p["place"], p["low"], p["high"], p["gram"], raw[p["place"] + p["low"] : p["place"] + p["high"] + LENGTH]))
+                if len(out) >= TOGETHER:
+                    yield made()
+                    out = []
+    yield made()
 
 
 def _pointers(size: int, parent: int):
