@@ -39,7 +39,9 @@ SPACING, RATE, TOP = 1.001, 20.0, 65_534
 #: Estimates so many standard deviations under the threshold are still compared exactly.
 MARGIN = 5.0
 #: Nodes, and shingles of nodes, of a block; a group holds two blocks at most.
-BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 19
+#: Rows of a batch that are hashed, or handed on with their sets, together.
+TOGETHER = 200
 
 _draw = np.random.default_rng(77)
 _FACTORS = _draw.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -111,6 +113,13 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of TOGETHER rows at most, so that few rows' sets are held at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 def blocked(df: DataFrame, key: str, node: str, blocks: Column) -> DataFrame:
     """df with `part`: the groups that a row belongs to. Rows of a key with n blocks go to the n groups of pairs of
     blocks that hold their own; any two rows of a key share a group."""
@@ -154,7 +163,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     """id, check (CRC-32 of the text), n (set size), node (digest of the set; null if empty), registers."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, nodes, registers = [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py(), width)
@@ -206,7 +215,7 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
     texts = maybe_in(named, "name", members, "name", "maybe").where("maybe").join(placed, "name")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [shingles(t.as_py(), width) for t in batch.column("text")]
             # Of several rows with a name, those of another set are not the member meant.
             same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == node.as_py() for x, node in zip(own, batch.column("node"))]
