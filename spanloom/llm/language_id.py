@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 100, 10_000, 40_000
 BLOCK, ALPHABET = 4096, 64
 #: Characters parsed side by side at most, about.
-SIDE_BY_SIDE = 1 << 22
+SIDE_BY_SIDE = 1 << 21
 SHARPNESS = 8.0
 UNKNOWN, SPACE = 0, 1
 
@@ -143,7 +143,7 @@ class Parser:
     def _side_by_side(self, held: list[str], owner: list[int], counts: np.ndarray, lengths: np.ndarray) -> None:
         sizes = np.array([len(x) for x in held])
         codes = self.codes[np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), "uint32")]
-        block = np.repeat(np.arange(len(held)), sizes)
+        block = np.repeat(np.arange(len(held), dtype="int32"), sizes)
         first = np.zeros(len(codes), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         keep = (codes != SPACE) | np.r_[True, codes[:-1] != SPACE] & ~first
@@ -151,9 +151,9 @@ class Parser:
         sizes = np.bincount(block, minlength=len(held))
         np.add.at(lengths, owner, sizes)
         order = np.argsort(-sizes, kind="stable")
-        column = np.empty(len(held), "int64")
+        column = np.empty(len(held), "int32")
         column[order] = np.arange(len(held))
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.arange(len(codes), dtype="int32") - np.repeat((np.cumsum(sizes) - sizes).astype("int32"), sizes)
         grid = np.zeros((int(sizes.max(initial=0)), len(held)), "uint8")
         grid[place, column[block]] = codes
         falling = sizes[order]
@@ -179,7 +179,7 @@ class Parser:
         return [(self.langs[b], float(1 / s)) if t and any(map(str.isalpha, t)) else ("und", 0.0) for t, b, s in zip(texts, best, near)]
 
 
-@cache
+@lru_cache(maxsize=1)  # a worker that goes on to other corpora lets go of the last one's tables
 def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(texts))
 
