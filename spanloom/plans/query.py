@@ -29,6 +29,7 @@ class Context(Protocol):
 
     scoring: bool
 
+    def bind(self, value: Column) -> Column: ...
     def tf(self, leaf: Leaf) -> Column: ...
     def positions(self, leaf: Leaf) -> Column: ...
     def relevance(self, freq: Column, leaves: Sequence[Leaf], boost: float) -> Column: ...
@@ -39,6 +40,10 @@ class Context(Protocol):
 Pair = tuple[Column, Column]
 
 
+class Factor(float):
+    """A boost that some query around states, be it 1."""
+
+
 def _number(x: float) -> str:
     return f"{x:g}"
 
@@ -83,7 +88,7 @@ class Constant(Query):
         raise NotImplementedError
 
     def compile(self, context: Context, boost: float = 1.0) -> Pair:
-        return _scored(self.condition(context), F.lit(0.0 if boost == 1.0 else float(boost)))
+        return _scored(self.condition(context), F.lit(float(boost) if isinstance(boost, Factor) else 0.0))
 
 
 @dataclass(frozen=True)
@@ -197,7 +202,7 @@ class Boost(Query):
         return self.query.terms()
 
     def compile(self, context: Context, boost: float = 1.0) -> Pair:
-        return self.query.compile(context, self.boost * boost)
+        return self.query.compile(context, Factor(self.boost * boost))
 
     def only_with_terms(self) -> bool:
         return self.query.only_with_terms()
@@ -383,6 +388,7 @@ class Phrase(Query):
             freq = spans.sloppy_freq(positions, list(self.places), list(self.words), self.slop)
         else:
             freq = spans.exact_freq(positions, list(self.places))
+        freq = context.bind(freq)
         return _scored(freq > 0, context.relevance(freq, [(self.field, w) for w in self.words], boost))
 
     def only_with_terms(self) -> bool:
@@ -408,18 +414,16 @@ class SpanQuery(Query):
     def leaves(self) -> list[Leaf]:
         return list(dict.fromkeys(self.span_terms()))
 
-    def single(self) -> bool:
-        """Whether all its spans are single positions."""
-        return False
-
     def factor(self) -> float:
         return 1.0
 
-    def spans(self, context: Context) -> Column:
+    def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
+        """The spans in a document, from its leaves' positions."""
         raise NotImplementedError
 
     def compile(self, context: Context, boost: float = 1.0) -> Pair:
-        freq = spans.freq(self.spans(context))
+        leaves = self.leaves()
+        freq = context.bind(spans.on_positions([context.positions(x) for x in leaves], lambda lists: spans.freq(self.spans(dict(zip(leaves, lists)))), False))
         return _scored(freq > 0, context.relevance(freq, self.span_terms(), boost * self.factor()))
 
     def only_with_terms(self) -> bool:
@@ -437,11 +441,8 @@ class SpanTerm(SpanQuery):
     def span_terms(self) -> list[Leaf]:
         return [(self.field, self.term)]
 
-    def single(self) -> bool:
-        return True
-
-    def spans(self, context: Context) -> Column:
-        return spans.of_positions(context.positions((self.field, self.term)))
+    def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
+        return spans.of_positions(positions[self.field, self.term])
 
     def __str__(self) -> str:
         return f"SpanTermQuery(field: {self.field}, term: {self.term})"
@@ -460,7 +461,7 @@ class SpanGap(SpanQuery):
     def span_terms(self) -> list[Leaf]:
         return []
 
-    def spans(self, context: Context) -> Column:
+    def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
         raise ValueError("a gap stands between clauses of an ordered nearness only")
 
     def __str__(self) -> str:
@@ -494,10 +495,10 @@ class SpanNear(SpanQuery):
     def field_name(self) -> str:
         return _one_field(self.clauses)
 
-    def spans(self, context: Context) -> Column:
+    def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
         if self.in_order:
-            return spans.ordered([c.width if isinstance(c, SpanGap) else c.spans(context) for c in self.clauses], self.slop)
-        return spans.unordered([c.spans(context) for c in self.clauses], self.slop, all(c.single() for c in self.clauses))
+            return spans.ordered([c.width if isinstance(c, SpanGap) else c.spans(positions) for c in self.clauses], self.slop)
+        return spans.unordered([c.spans(positions) for c in self.clauses], self.slop)
 
     def __str__(self) -> str:
         return f"SpanNearQuery(clauses: [{', '.join(map(str, self.clauses))}], slop: {self.slop}, in_order: {str(self.in_order).lower()})"
@@ -542,11 +543,8 @@ class SpanOr(SpanQuery):
     def field_name(self) -> str:
         return _one_field(self.clauses)
 
-    def single(self) -> bool:
-        return all(c.single() for c in self.clauses)
-
-    def spans(self, context: Context) -> Column:
-        return spans.either([c.spans(context) for c in self.clauses])
+    def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
+        return spans.either([c.spans(positions) for c in self.clauses])
 
     def __str__(self) -> str:
         return f"SpanOrQuery(clauses: [{', '.join(map(str, self.clauses))}])"
@@ -565,14 +563,11 @@ class SpanBoost(SpanQuery):
     def field_name(self) -> str:
         return self.query.field_name()
 
-    def single(self) -> bool:
-        return self.query.single()
-
     def factor(self) -> float:
         return self.boost * self.query.factor()
 
-    def spans(self, context: Context) -> Column:
-        return self.query.spans(context)
+    def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
+        return self.query.spans(positions)
 
     def __str__(self) -> str:
         return f"SpanBoostQuery(query: {self.query}, boost: {_number(self.boost)})"

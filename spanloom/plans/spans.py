@@ -1,19 +1,20 @@
-"""Positions and spans of a document as arrays: phrases, ordered and unordered nearness, unions, gaps.
+"""Positions and spans of a document: phrases, ordered and unordered nearness, unions, gaps.
 
-A span is a struct (start, end, width). Everything that has a closed form stays in column expressions; sloppy phrases
-and unordered nearness of more than two terms follow cursors and run as vectorised functions on Arrow batches.
+Exact phrases are column expressions. Sloppy phrases and span trees follow cursors along sorted positions, which
+array expressions could only do by scanning all pairs; they run as functions on Arrow batches of the leaves'
+positions, and are marked so that the optimizer evaluates them once a document.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<start:int,end:int,width:int>>"
-
 
 def exact_freq(positions: list[Column], offsets: list[int]) -> Column:
     """Number of places where all terms stand at their offsets."""
@@ -81,93 +82,76 @@ def sloppy_freq(positions: list[Column], offsets: list[int], terms: list[str], s
     """Sloppy frequency; null unless all terms occur."""
     groups = [g for t in dict.fromkeys(terms) if len(g := sorted((k for k, x in enumerate(terms) if x == t), key=lambda k: offsets[k])) > 1]
 
-    @F.pandas_udf("double")
-    def freq(lists: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else sloppy_cursors([list(p) for p in x], offsets, groups, slop) for x in lists], dtype="float64")
-
-    has = positions[0].isNotNull()
-    for p in positions[1:]:
-        has = has & p.isNotNull()
-    return freq(F.when(has, F.array(*positions)))
+    return on_positions(positions, lambda lists: sloppy_cursors(lists, offsets, groups, slop), True)
 
 
-def of_positions(positions: Column) -> Column:
-    return F.transform(positions, lambda p: F.struct(p.cast("int").alias("start"), (p + 1).cast("int").alias("end"), F.lit(0).alias("width")))
+def on_positions(positions: list[Column], of: Callable[[list[np.ndarray]], float], all_needed: bool) -> Column:
+    """A number from the leaves' positions of each document; null without any, or with `all_needed` without all."""
 
+    def freq(lists: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        none = np.zeros(0, "int64")
+        for series in lists:
+            out = []
+            for row in zip(*series):
+                has = [p is not None for p in row]
+                out.append(of([none if p is None else np.asarray(p, "int64") for p in row]) if (all(has) if all_needed else any(has)) else None)
+            yield pd.Series(out, dtype="float64")
 
-def either(spans: list[Column]) -> Column:
-    """Union of spans in order; duplicates stay. Null only if all are."""
-    none = F.array().cast(SPAN)
-    has = F.coalesce(*spans).isNotNull()
-    return F.when(has, F.array_sort(F.concat(*[F.coalesce(s, none) for s in spans])))
+    def one(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return freq((x,) for x in lists)
 
+    made = F.pandas_udf(freq if len(positions) > 1 else one, "double").asNondeterministic()
+    return made(*positions)
 
-def ordered(clauses: list[Column | int], slop: int) -> Column:
-    """Spans of clauses in order with gaps of at most slop in all; an int is a gap of that width. For each start of
-    the first clause, every next one takes its first span from where the last ended."""
-    first, *rest = clauses
-    null = F.lit(None).cast("struct<start:int,end:int,width:int>")
-
-    def follow(s: Column) -> Column:
-        out = F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("width"))
-        for clause in rest:
-            if isinstance(clause, int):
-                out = F.struct(out["start"].alias("start"), (out["end"] + clause).cast("int").alias("end"), out["width"].alias("width"))
-                continue
-            last = out
-            found = F.array_min(F.filter(clause, lambda c: c["start"] >= last["end"]))  # noqa: B023
-            out = F.when(found.isNull(), null).otherwise(F.struct(last["start"].alias("start"), found["end"].alias("end"), (last["width"] + found["start"] - last["end"]).alias("width")))
-        return out
-
-    has = first.isNotNull()
-    for clause in rest:
-        has = has & (F.lit(True) if isinstance(clause, int) else clause.isNotNull())
-    found = F.filter(F.transform(first, follow), lambda s: s.isNotNull() & (s["width"] <= slop))
-    return F.when(has & (F.size(found) > 0), found)
-
-
-def unordered_cursors(clauses: list[list[tuple[int, int]]], slop: int) -> list[tuple[int, int, int]]:
-    """(start, end, width) of the windows that hold a span of each clause, as cursors meet them."""
-    if any(not c for c in clauses):
-        return []
-    spans, at, out = [sorted(c) for c in clauses], [0] * len(clauses), []
-    while True:
-        now = [c[a] for c, a in zip(spans, at)]
-        least = min(range(len(now)), key=lambda k: (now[k], k))
-        last = max(range(len(now)), key=lambda k: (now[k][1], now[k][0]))
-        if now[last][1] - now[least][0] - sum(e - s for s, e in now) <= slop:
-            out.append((now[least][0], now[last][1], now[last][0] - now[least][0]))
-        at[least] += 1
-        if at[least] >= len(spans[least]):
-            return out
 
+#: Starts, ends and widths of spans, sorted by start, then end.
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def unordered(clauses: list[Column], slop: int, terms: bool) -> Column:
-    """Windows that hold a span of each clause; terms: whether all spans are single positions."""
-    has = clauses[0].isNotNull()
-    for c in clauses[1:]:
-        has = has & c.isNotNull()
-    if len(clauses) == 2 and terms:  # from each place, the next one of the other clause
 
-        def from_one(own: Column, other: Column, at_equal: bool) -> Column:
-            def pair(s: Column) -> Column:
-                after = F.array_min(F.filter(F.transform(other, lambda o: o["start"]), lambda y: y >= s["start"]))
-                return F.struct(s["start"].alias("start"), (after + 1).cast("int").alias("end"), (after - s["start"]).cast("int").alias("width"))
+def of_positions(positions: np.ndarray) -> Spans:
+    return positions, positions + 1, np.zeros(len(positions), "int64")
 
-            return F.filter(F.transform(own, pair), lambda s: s["width"].isNotNull() & (s["width"] - 1 <= slop) & (F.lit(at_equal) | (s["width"] > 0)))
 
-        # Clauses of one term meet at equal places: once from the one side.
-        near = F.array_sort(F.concat(from_one(*clauses, True), from_one(*reversed(clauses), False)))
-        return F.when(has & (F.size(near) > 0), near)
+def either(clauses: list[Spans]) -> Spans:
+    """Union of spans in order; duplicates stay."""
+    starts, ends, widths = (np.concatenate([c[k] for c in clauses]) for k in range(3))
+    order = np.lexsort((ends, starts))
+    return starts[order], ends[order], widths[order]
 
-    @F.pandas_udf(SPAN)
-    def windows(lists: pd.Series) -> pd.Series:
-        found = [None if x is None else unordered_cursors([[(s["start"], s["end"]) for s in c] for c in x], slop) for x in lists]
-        return pd.Series([[{"start": a, "end": b, "width": w} for a, b, w in f] if f else None for f in found])
 
-    return windows(F.when(has, F.array(*clauses)))
+def ordered(clauses: list[Spans | int], slop: int) -> Spans:
+    """Spans of clauses in order with gaps of at most slop in all; an int is a gap of that width. For each start of
+    the first clause, every next one takes its first span from where the last ended."""
+    starts, ends, _ = clauses[0]
+    widths = np.zeros(len(starts), "int64")
+    for clause in clauses[1:]:
+        if isinstance(clause, int):
+            ends = ends + clause
+            continue
+        at = np.searchsorted(clause[0], ends)
+        found = at < len(clause[0])
+        starts, ends, widths, at = starts[found], ends[found], widths[found], at[found]
+        widths = widths + clause[0][at] - ends
+        ends = clause[1][at]
+    near = widths <= slop
+    return starts[near], ends[near], widths[near]
+
+
+def unordered(clauses: list[Spans], slop: int) -> Spans:
+    """Windows that hold a span of each clause, as cursors meet them: the one with the least start moves on."""
+    out: list[tuple[int, int, int]] = []
+    lists = [list(zip(c[0].tolist(), c[1].tolist())) for c in clauses]
+    at = [0] * len(lists)
+    while all(a < len(x) for a, x in zip(at, lists)):
+        now = [x[a] for a, x in zip(at, lists)]
+        least = min(range(len(now)), key=lambda k: (now[k], k))
+        last = max(now, key=lambda s: (s[1], s[0]))
+        if last[1] - now[least][0] - sum(e - s for s, e in now) <= slop:
+            out.append((now[least][0], last[1], last[0] - now[least][0]))
+        at[least] += 1
+    return tuple(np.array([s[k] for s in out], "int64") for k in range(3))
 
 
-def freq(spans: Column) -> Column:
-    """Sum of 1 / (1 + width) over spans; null without any."""
-    return F.when(F.size(spans) > 0, F.aggregate(spans, F.lit(0.0), lambda a, s: a + 1.0 / (1 + s["width"])))
+def freq(spans: Spans) -> float:
+    """Sum of 1 / (1 + width)."""
+    return float((1.0 / (1 + spans[2])).sum())

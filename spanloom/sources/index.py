@@ -28,6 +28,12 @@ class Frame:
         self._schema, self._number, self._positional = schema, {x: n for n, x in enumerate(leaves)}, positional
         self._similarity, self._fields, self._terms, self._specs = similarity, field_stats, term_stats, specs
 
+    def bind(self, value: Column) -> Column:
+        """A column that holds the value, so that what refers to it several times computes it once."""
+        name = f"__b{sum(c.startswith('__b') for c in self.df.columns)}"
+        self.df = self.df.withColumn(name, value)
+        return F.col(name)
+
     def tf(self, leaf: Leaf) -> Column:
         n = self._number[leaf]
         return F.size(f"__p{n}") if leaf in self._positional else F.col(f"__f{n}")
