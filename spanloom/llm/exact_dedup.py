@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.bloom import flagged, repeat_filter
 from spanloom.llm.common import fresh, settle
 
+
 def digest(text: Column) -> Column:
     """SHA-256 of a text's UTF-8 bytes, in lower-case hex; null as the empty text."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
@@ -29,8 +30,9 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits, pages = repeat_filter(rows, "hash", slots_per_row, max_slots)
     marked = settle(flagged(rows, "hash", settle(bits), pages, "maybe"))
     alone = marked.where(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "hash")
-    same = marked.where("maybe").groupBy("hash", "id").agg(F.count("*").alias("copies"))
-    groups = same.groupBy("hash").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Both sides of the join are settled, so that adaptive joins can split a hash that many ids share.
+    same = settle(marked.where("maybe").groupBy("hash", "id").agg(F.count("*").alias("copies")))
+    groups = settle(same.groupBy("hash").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size")))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     dealt = same.join(groups, "hash").select("*", copy.alias("copy")).select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "hash")
     return alone.unionByName(dealt).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("hash")).alias("text_sha256"))
