@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Hashable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,29 @@ GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
+Model = TypeVar("Model")
+_held: dict[tuple, object] = {}
+
+
+def let_go() -> None:
+    """Drops the model that this Python worker holds and gives freed memory back to the system.
+
+    Workers go on from stage to stage, so what one leaves behind counts against the next.
+    """
+    _held.clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def held(make: Callable[..., Model], *key: Hashable) -> Model:
+    """make(*key), kept until this worker needs another model."""
+    if (make, key) not in _held:
+        let_go()
+        _held[make, key] = make(*key)
+    return _held[make, key]  # type: ignore[return-value]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

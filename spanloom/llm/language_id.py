@@ -18,13 +18,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import held
+
 #: The sample of a language: about so many documents, so many characters of each and of all at most.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 100, 10_000, 40_000
 BLOCK, ALPHABET = 4096, 64
@@ -179,7 +181,6 @@ class Parser:
         return [(self.langs[b], float(1 / s)) if t and any(map(str.isalpha, t)) else ("und", 0.0) for t, b, s in zip(texts, best, near)]
 
 
-@lru_cache(maxsize=1)  # a worker that goes on to other corpora lets go of the last one's tables
 def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(texts))
 
@@ -189,7 +190,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     learned = tuple(sorted(samples(df, id_col, text_col, lang_col, ~held_out(F.col(id_col)) if learn is None else learn).items()))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(learned)
+        parser = held(_parser, learned)
         for batch in batches:
             found = parser.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "held_out", "lang_pred", "score"])
@@ -205,7 +206,7 @@ def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = df.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(learned)
+        parser = held(_parser, learned)
         for batch in batches:
             found = parser.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != "und" and score > least_score for lang, score in found], pa.bool_()))

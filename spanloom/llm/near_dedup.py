@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.bloom import maybe_in
-from spanloom.llm.common import fresh, settle
+from spanloom.llm.common import fresh, let_go, settle
 from spanloom.llm.shingles import mixed, shingles
 
 REGISTERS, ROWS = 128, 4
@@ -163,6 +163,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     """id, check (CRC-32 of the text), n (set size), node (digest of the set; null if empty), registers."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in sliced(batches):
             sizes, nodes, registers = [], [], []
             for text in batch.column("text"):
@@ -187,6 +188,7 @@ def families(nodes: DataFrame, threshold: float) -> DataFrame:
     margin = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         found: list[tuple[bytes, bytes]] = []
         for group in groups(batches, "part"):
             names, sizes = group.column("node").to_pylist(), group.column("n").to_numpy()
@@ -215,6 +217,7 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
     texts = maybe_in(named, "name", members, "name", "maybe").where("maybe").join(placed, "name")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in sliced(batches):
             own = [shingles(t.as_py(), width) for t in batch.column("text")]
             # Of several rows with a name, those of another set are not the member meant.
@@ -223,6 +226,7 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
             yield pa.RecordBatch.from_arrays(cols, ["root", "node", "members", "total", "hashes"]).filter(pa.array(same))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for group in groups(batches, "part"):
             names = group.column("node").to_pylist()
             own = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]

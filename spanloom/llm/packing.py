@@ -18,18 +18,17 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import settle
+from spanloom.llm.common import held, settle
 
 CAPACITY, END = 1024, 2
 #: Units of text whose ids a worker remembers; further ones are encoded anew each time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Rows of one chunk of ids at most, about; there are 64 chunks at least.
 CHUNK_ROWS = 1 << 16
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
@@ -74,11 +73,6 @@ class Encoder(dict):
         return array("I", self.units.encode_ordinary(first)).tobytes() + b"".join(map(self.__getitem__, rest))
 
 
-@cache
-def encoder(tokenizer: str, ranks: str) -> Encoder:
-    return Encoder(tokenizer, ranks)
-
-
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens."""
     first = n if n <= capacity else n % capacity or capacity
@@ -89,7 +83,7 @@ def cut_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     """One row per piece: id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = encoder(tokenizer, ranks), array("I", [end]).tobytes()
+        known, last = held(Encoder, tokenizer, ranks), array("I", [end]).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for id_, text in zip(batch.column(0), batch.column(1)):

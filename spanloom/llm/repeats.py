@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.bloom import maybe_in
-from spanloom.llm.common import settle
+from spanloom.llm.common import let_go, settle
 from spanloom.llm.shingles import BYTES, POWERS, mixed
 
 LENGTH, GRAM = 400, 64
@@ -88,6 +88,7 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of each text."""
+    let_go()
     for whole in batches:
         for at in range(0, len(whole), TOGETHER):
             batch = whole.slice(at, TOGETHER)
