@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A token ends at this many UTF-8 bytes; the rest is the next token.
 MAX_TOKEN_BYTES, MAX_WORD_CHARS = 511, 128
 SPACE = r"(?U)\s+"
+#: Runs of anything but the characters with Unicode's White_Space property (fixed values), as SPACE has it.
+TOKEN = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
 def _cut(token: Column) -> Column:
@@ -46,19 +52,41 @@ def words(values: Column) -> Column:
     return F.transform(F.array_distinct(ordered), lambda w: F.substring(w["value"], 1, MAX_WORD_CHARS))
 
 
-def offsets(text: Column) -> Column:
-    """Tokens with places: array of (term, pos, start, end), offsets in characters, end exclusive."""
-    gaps = F.regexp_extract_all(text, F.lit(SPACE), F.lit(0))
-    parts = F.split(text, SPACE, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,pos:int,start:int,end:int>>").alias("out"))
-
-    def put(state: Column, term: Column) -> Column:
-        token = F.struct(term.alias("term"), F.size(state["out"]).alias("pos"), state["at"].alias("start"), (state["at"] + F.length(term)).alias("end"))
-        return F.struct(token["end"].alias("at"), F.concat(state["out"], F.array(token)).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        whole_ = F.when(x["part"] == "", state).otherwise(F.aggregate(_cut(x["part"]), state, put))
-        return F.struct((whole_["at"] + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), whole_["out"].alias("out"))
-
-    zipped = F.zip_with(parts, gaps, lambda p, g: F.struct(F.coalesce(p, F.lit("")).alias("part"), g.alias("gap")))
-    return F.coalesce(F.aggregate(zipped, start, step, lambda s: s["out"]), F.array().cast("array<struct<term:string,pos:int,start:int,end:int>>"))
+def _parts(token: str) -> list[str]:
+    """A token cut as `_cut` does."""
+    if len(token.encode()) < MAX_TOKEN_BYTES:
+        return [token]
+    out, held = [""], 0
+    for c in token:
+        if held >= MAX_TOKEN_BYTES:
+            out, held = [*out, ""], 0
+        out[-1] += c
+        held += len(c.encode())
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("pos", "start", "end"))])))
+def offsets(text: pa.Array) -> pa.Array:
+    """Tokens with places: array of (term, pos, start, end), offsets in characters, end exclusive; null text has none.
+
+    A running place needs an accumulated array in column expressions, which is copied for each token; here it takes
+    time in proportion to the text.
+    """
+    terms: list[str] = []
+    places: list[int] = []
+    starts: list[int] = []
+    edges = [0]
+    for value in text.to_pylist():
+        first = len(terms)
+        for found in TOKEN.finditer(value or ""):
+            start = found.start()
+            for part in _parts(found[0]):
+                terms.append(part)
+                places.append(len(terms) - 1 - first)
+                starts.append(start)
+                start += len(part)
+        edges.append(len(terms))
+    begin = pa.array(starts, pa.int32())
+    end = pa.array([s + len(t) for s, t in zip(starts, terms)], pa.int32())
+    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(places, pa.int32()), begin, end], ["term", "pos", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows)

@@ -55,6 +55,12 @@ class Frame:
         return self._schema[name].dataType.simpleString()
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with further columns, each computed once a row: conditions are not pushed below a generator, which would
+    compute what they refer to a second time."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()])))) if values else df
+
+
 def tokens(spec: FieldSpec, kind: T.DataType) -> Column:
     col = F.col(spec.name)
     if not spec.tokenized:
@@ -72,14 +78,14 @@ class TableIndex:
         self.specs = {f.name: f for f in self.schema.fields}
 
     def _tokens(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
-        return df.withColumns({f"__t_{n}": tokens(self.specs[n], self.docs.schema[n].dataType) for n in names}) if names else df
+        return once(df, **{f"__t_{n}": tokens(self.specs[n], self.docs.schema[n].dataType) for n in names})
 
     def _leaf_frame(self, leaves: list[Leaf], positional: set[Leaf]) -> DataFrame:
         for name, _ in positional:
             if self.specs[name].index_options < IndexOptions.POSITIONS:
                 raise ValueError(f"field {name!r} has no positions")
         names = list(dict.fromkeys(f for f, _ in leaves))
-        df = self._tokens(self.docs, names)
+        df, found_in = self._tokens(self.docs, names), {}
         for n in names:
             own = [t for f, t in leaves if f == n]
             if any(f == n for f, _ in positional):
@@ -87,8 +93,8 @@ class TableIndex:
                 hits = F.filter(places, lambda x: x["t"].isin(own))  # noqa: B023
             else:
                 hits = F.filter(f"__t_{n}", lambda t: t.isin(own))  # noqa: B023
-            df = df.withColumns({f"__h_{n}": hits, f"__l_{n}": F.size(f"__t_{n}")}).drop(f"__t_{n}")
-        made = {}
+            found_in |= {f"__h_{n}": hits, f"__l_{n}": F.size(f"__t_{n}")}
+        df, made = once(df, **found_in).drop(*[f"__t_{n}" for n in names]), {}
         for k, (f, t) in enumerate(leaves):
             if any(f == g for g, _ in positional):
                 found = F.transform(F.filter(f"__h_{f}", lambda x: x["t"] == t), lambda x: x["i"])  # noqa: B023
