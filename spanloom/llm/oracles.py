@@ -26,6 +26,24 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP6 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, hash(s) AS s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                               ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached AS (SELECT doc_id AS start, doc_id AS here FROM documents UNION SELECT start, y FROM reached JOIN edges ON here = x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT start, min(here) AS component_id FROM reached GROUP BY start) ON start = d.doc_id
+"""
+
 OP9 = """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -43,4 +61,4 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op1_source_mixing": OP1, "op9_vector_search": OP9, "op10_exact_dedup": OP10}
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1, "op6_near_dedup": OP6, "op9_vector_search": OP9, "op10_exact_dedup": OP10}
