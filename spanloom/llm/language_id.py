@@ -31,7 +31,7 @@ from spanloom.llm.common import held
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 100, 10_000, 40_000
 BLOCK, ALPHABET = 4096, 64
 #: Characters parsed side by side at most, about.
-SIDE_BY_SIDE = 1 << 21
+SIDE_BY_SIDE = 1 << 20
 SHARPNESS = 8.0
 UNKNOWN, SPACE = 0, 1
 

@@ -18,6 +18,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,19 @@ class Encoder(dict):
     def __init__(self, tokenizer: str, ranks: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(public_tokenizers.path(ranks), "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.units = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        self.name = tokenizer
+
+    @cached_property
+    def tokenizer(self):
+        """Loaded for the rare texts that need it."""
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(self.name))
 
     def __missing__(self, unit: str) -> bytes:
         ids = array("I", self.units.encode_ordinary(" " + unit)).tobytes()
