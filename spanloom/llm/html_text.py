@@ -3,9 +3,12 @@
 The standard library's parser streams events; they are gathered to lines, one per block element, each with its text
 and the tags seen in it. What a page marks as furniture (menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles, comments of readers) is left out by element, role, class or id. Lines then form regions: what an
-article or main element holds, or, on pages without one, runs of lines that no furniture parts. A line's ratio of
-text to tags is smoothed with a Gaussian along its region, and regions that reach the threshold are content; of none,
-the best. An article's lines are kept whole, short ones too.
+article or main element holds, runs of lines between those that no furniture parts, and, in either, runs of lines that
+hold LINKS links or more and no other text. Each line's ratio of text outside links to tags is smoothed with a Gaussian
+along its region, and regions that reach the threshold, the standard deviation of all the page's ratios, are content;
+of none, the best. Article and main elements are a prior only: where the largest of them holds as much text outside
+links as all other regions that reach the threshold, those are not content. A region's lines are kept whole, short
+ones too. Where all text is links, links count as text.
 
 Cases: a null or empty page, or one of markup only, has the empty text. Broken markup is read as far as it goes;
 elements that never close end with the page. Repeated rows give equal texts. Null ids and urls are carried. Other
@@ -34,14 +37,20 @@ CONTAINERS = frozenset(("article", "main"))
 #: Elements that an opening block element closes.
 LOOSE = frozenset(("p", "li", "dt", "dd", "option"))
 SPREAD, REACH = 1.0, 3
+#: So many links, and nothing else, make lines a list of links.
+LINKS = 3
 
 
 class Line:
-    __slots__ = ("parts", "region", "tags")
+    __slots__ = ("links", "own", "parts", "region", "tags", "title")
 
     def __init__(self, region: int) -> None:
         self.parts: list[str] = []
-        self.region, self.tags = region, 1
+        self.own: list[str] = []  # the parts outside links
+        self.region, self.tags, self.links, self.title = region, 1, 0, False
+
+    def linked(self) -> bool:
+        return self.links > 0 and not self.title and not any(c.isalnum() for x in self.own for c in x)
 
 
 class Page(HTMLParser):
@@ -55,8 +64,10 @@ class Page(HTMLParser):
         self.inside: list[str] = []  # open article and main elements
         self.regions: list[bool] = [False]  # whether a region is an article's
         self.line = Line(0)
+        self.link = False
 
     def close_line(self) -> None:
+        self.link = False
         if self.line.parts:
             self.lines.append(self.line)
         self.line = Line(len(self.regions) - 1)
@@ -97,8 +108,12 @@ class Page(HTMLParser):
                 self.new_region(True)
         if tag in BLOCKS:
             self.close_line()
+            self.line.title = tag == "h1"
         elif tag == "br":
             self.line.parts.append(" ")
+        elif tag == "a":
+            self.link = True
+            self.line.links += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # HTML knows no self-closing elements but the void ones: <p/> opens a paragraph.
@@ -122,6 +137,8 @@ class Page(HTMLParser):
         self.line.tags += 1
         if tag in BLOCKS:
             self.close_line()
+        elif tag == "a":
+            self.link = False
         if tag in CONTAINERS and tag in self.inside:
             while self.inside.pop() != tag:
                 pass
@@ -131,6 +148,8 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.out:
             self.line.parts.append(data)
+            if not self.link:
+                self.line.own.append(data)
 
 
 def smoothed(ratios: list[float], spread: float = SPREAD, reach: int = REACH) -> list[float]:
@@ -150,17 +169,29 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.close_line()
-    lines = [(" ".join("".join(x.parts).split()), x) for x in page.lines]
-    lines = [x for x in lines if x[0]]
-    if any(page.regions[x.region] for _, x in lines):
-        return " ".join(text for text, x in lines if page.regions[x.region])
+    lines = [(text, x) for x in page.lines if (text := " ".join("".join(x.parts).split()))]
     if not lines:
         return ""
-    ratios = [r for _, own in groupby(lines, key=lambda x: x[1].region) for r in smoothed([len(text) / x.tags for text, x in own])]
+    sizes = [len(" ".join("".join(x.own).split())) for _, x in lines]
+    if not any(sizes):
+        sizes = [len(text) for text, _ in lines]
+    regions: list[tuple[int, int]] = []  # a line's region, and the number of its list of links there
+    for n, (listed, run) in enumerate(groupby((x for _, x in lines), key=lambda x: (x.region, x.linked()))):
+        own = list(run)
+        regions += [(listed[0], n + 1 if listed[1] and sum(x.links for x in own) >= LINKS else 0)] * len(own)
+    ratios = [r for _, own in groupby(range(len(lines)), key=regions.__getitem__) for r in smoothed([sizes[k] / lines[k][1].tags for k in own])]
     mean = sum(ratios) / len(ratios)
-    threshold = min(max(ratios), math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)) or max(ratios))
-    content = {x.region for (_, x), r in zip(lines, ratios) if r >= threshold}
-    return " ".join(text for text, x in lines if x.region in content)
+    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)) or max(ratios)
+    held: dict[tuple[int, int], int] = {}
+    best: dict[tuple[int, int], float] = {}
+    for region, n, r in zip(regions, sizes, ratios):
+        held[region], best[region] = held.get(region, 0) + n, max(best.get(region, 0.0), r)
+    article = max((n for (k, _), n in held.items() if page.regions[k]), default=0)
+    if article and article >= sum(n for x, n in held.items() if not page.regions[x[0]] and best[x] >= threshold):
+        best = {x: r for x, r in best.items() if page.regions[x[0]]}
+    threshold = min(threshold, max(best.values()))
+    content = {x for x, r in best.items() if r >= threshold}
+    return " ".join(text for (text, _), region in zip(lines, regions) if region in content)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -112,6 +112,25 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+LONG = "Many plain words make a long paragraph of the body here. " * 4
+CARDS = "".join(f"<article><h3><a href=x>Card {i}</a></h3><p>A short teaser.</p></article>" for i in range(6))
+LINKS = "<ul>" + "".join(f"<li><a href=x>Other {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body><div>{LONG}</div><div>{LONG}</div><div>{LONG}</div>{CARDS}", LONG * 3),
+        (f"<article><h1><a href=x>T</a></h1><p>{LONG}</p>{LINKS}<p>{LONG}</p><p>End.</p></article><div>Said by few.</div>", f"T {LONG * 2} End."),
+        (f"<article><p>{LONG}</p></article>{CARDS}", LONG),
+        ("<div>A notice of one line that is longer than any line of the poem.</div><article>" + "<p>Short is the line.</p>" * 9 + "</article>", "Short is the line. " * 9),
+        (f"<main>{LINKS}</main>", " ".join(f"Other {i}" for i in range(8))),
+    ],
+)
+def test_main_text_by_ratios(html, want):
+    assert html_text.main_text(html) == " ".join(want.split())
+
+
 def test_pages_of_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = html_text.extract(pages)
