@@ -17,7 +17,7 @@ from spanloom.operators import ranking as R
 from spanloom.plans import query as Q
 from spanloom.plans.parser import parse
 from spanloom.schema import keyword, text
-from spanloom.sources.index import Searcher, TableIndex, ranked
+from spanloom.sources.index import Searcher, TableIndex
 from spanloom.streaming.ingest import SearcherManager, ingest
 
 Made = Callable[[SparkSession, str], DataFrame]
@@ -381,7 +381,7 @@ def compaction(spark, sf_dir):
 def highlight(spark, sf_dir):
     i = index(spark, sf_dir)
     q = Q.boolean([t("the")], [t("of"), t("and")])
-    return H.highlight(i, q, ranked(Searcher(i).hits(q), 20), "text", 100, number=2, builder="windows", encoder="html").select("doc_id", F.array_join("fragments", " ... ").alias("marked"))
+    return H.highlight(i, q, Searcher(i).hits(q), "text", 100, number=2, builder="windows", encoder="html").select("doc_id", F.array_join("fragments", " ... ").alias("marked"))
 
 
 @query

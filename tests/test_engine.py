@@ -7,9 +7,11 @@ from spanloom.functions import analysis
 from spanloom.operators import mutation as M
 from spanloom.operators import ranking as R
 from spanloom.plans import query as Q
+from spanloom.queries import QUERIES
 from spanloom.schema import keyword, text
 from spanloom.sources.index import Searcher, StoredIndex, TableIndex
 from spanloom.streaming.ingest import SearcherManager
+from tests.conftest import SF
 
 FOXES = ["The quick brown fox jumps over a lazy dog", "The quick fox jumps over a lazy dog", "The fox jumps quick over a lazy dog"]
 
@@ -84,3 +86,9 @@ def test_writer_and_manager(spark, tmp_path):
     again = M.IndexWriter(spark, path, "doc_id", ["body"], mode="append", keep=2)
     assert again.force_merge(1) == 3 and again.counts() == {"num_docs": 2, "version": 3}
     assert again.commit() == 3
+
+
+def test_highlights_of_all_hits(spark):
+    made = QUERIES["highlight"](spark, SF).collect()
+    assert {r["doc_id"] for r in made} == {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if "the" in (r["text"] or "").split()}
+    assert len(made) > 20 and all("<b>" in r["marked"] for r in made)
