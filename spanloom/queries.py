@@ -313,6 +313,12 @@ def token_offsets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.offsets(F.col("text"))).alias("x")).where("x.pos < 5").select("doc_id", "x.term", "x.pos", "x.start", "x.end")
 
 
+@query
+def token_offsets_whole(spark, sf_dir):
+    """All tokens of whole texts; token_offsets has the first of each text, as its SQL does."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.offsets(F.col("text"))).alias("x")).select("doc_id", "x.term", "x.pos", "x.start", "x.end")
+
+
 @query
 def sorted_set_dv(spark, sf_dir):
     events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("types"))

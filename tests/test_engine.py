@@ -1,5 +1,8 @@
 """Searches, writers and streams on small fixtures."""
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +95,11 @@ def test_highlights_of_all_hits(spark):
     made = QUERIES["highlight"](spark, SF).collect()
     assert {r["doc_id"] for r in made} == {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if "the" in (r["text"] or "").split()}
     assert len(made) > 20 and all("<b>" in r["marked"] for r in made)
+
+
+def test_offsets_of_whole_texts(spark):
+    want = Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        want.update((r["doc_id"], m.group(), k, m.start(), m.end()) for k, m in enumerate(re.finditer(r"\S+", r["text"] or "")))
+    assert max(pos for _, _, pos, _, _ in want) > 1000 and all(len(t.encode()) < analysis.MAX_TOKEN_BYTES for _, t, *_ in want)
+    assert Counter(tuple(r) for r in QUERIES["token_offsets_whole"](spark, SF).collect()) == want
