@@ -8,7 +8,8 @@ that memory is bounded and long texts are parsed side by side. Automata are tabl
 of a batch advance by a character in one vector step.
 
 Cases: a null text, an empty one or one without a letter is `und` with score 0. A text whose letters no sample has
-is a tie; ties go to the smaller language name. Without labelled rows every text is `und`. Null ids are never held
+is a tie; ties go to the smaller language name. Without labelled rows every text is `und`,
+and `drop_unidentified` drops texts without a letter only. Null ids are never held
 out. Rows with null labels are predicted, not learned from. Repeated rows are treated alike. Extra columns are
 ignored by `identify`; `drop_unidentified` carries them, whatever their names.
 """
@@ -200,7 +201,11 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.0) -> DataFrame:
-    """df's rows whose language is identified with a score above least_score; all columns stay."""
+    """df's rows whose language is identified with a score above least_score; all columns stay.
+
+    With the default, these are the rows whose text has a letter: a language that was not learned is taken for the
+    nearest. Where nothing was learned no language can be told, and rows whose text has a letter stay too.
+    """
     learned = tuple(sorted(samples(df, id_col, text_col, lang_col, ~held_out(F.col(id_col))).items()))
 
     at = df.columns.index(text_col)
@@ -208,7 +213,11 @@ def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = held(_parser, learned)
         for batch in batches:
-            found = parser.predict(batch.column(at).to_pylist())
+            texts = batch.column(at).to_pylist()
+            if not learned:
+                yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
+                continue
+            found = parser.predict(texts)
             yield batch.filter(pa.array([lang != "und" and score > least_score for lang, score in found], pa.bool_()))
 
     plain = df.toDF(*[f"c{n}" for n in range(len(df.columns))])  # no names that a UDF cannot take

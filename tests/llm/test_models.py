@@ -35,6 +35,13 @@ def test_languages_odd(odd, nothing):
     assert language_id.drop_unidentified(nothing).count() == 0
 
 
+def test_nothing_learned_drops_texts_without_letters_only(odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = [r["doc_id"] for r in language_id.drop_unidentified(unlabelled).collect()]
+    want = [r["doc_id"] for r in odd.collect() if any(map(str.isalpha, r["text"] or ""))]
+    assert len(want) > 5 and sorted(map(str, kept)) == sorted(map(str, want))
+
+
 def test_phrases_are_longest_matches():
     sample = {"a": "the quick brown fox jumps over the lazy dog", "b": "voix ambigue d un coeur qui au zephyr prefere les jattes de kiwis"}
     parser = language_id.Parser(sample)
