@@ -10,6 +10,10 @@ of none, the best. Article and main elements are a prior only: where the largest
 links as all other regions that reach the threshold, those are not content. A region's lines are kept whole, short
 ones too. Where all text is links, links count as text.
 
+A class or id does not remove an element that holds a main element or the page's only article, nor one whose furniture
+name is in one word with a name of layout ("content-sidebar-wrap") if it holds most of the page's text: the page is read
+again with that element kept. A head that does not close ends where the body or a block element opens.
+
 Cases: a null or empty page, or one of markup only, has the empty text. Broken markup is read as far as it goes;
 elements that never close end with the page. Repeated rows give equal texts. Null ids and urls are carried. Other
 columns are ignored. A page is parsed in its task's memory, batch by batch.
@@ -33,7 +37,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OUT = frozenset("head title script style noscript template nav aside footer form button select textarea input iframe object svg canvas menu dialog".split())
 OUT_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar".split())
 OUT_NAMES = frozenset("ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner sidebar comment comments commentlist discussion replies reply respond disqus menu nav navbar navigation navigate breadcrumb breadcrumbs topbar masthead footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar widget skip".split())
+#: Names of layout; with one of these, a furniture name in the same class or id may be that of a wrapper.
+LAYOUT = frozenset("wrap wrapper layout container content page site grid row with has".split())
 CONTAINERS = frozenset(("article", "main"))
+#: Elements of a head whose content does not end it.
+QUIET = frozenset(("noscript", "template", "title"))
 #: Elements that an opening block element closes.
 LOOSE = frozenset(("p", "li", "dt", "dd", "option"))
 SPREAD, REACH = 1.0, 3
@@ -53,11 +61,26 @@ class Line:
         return self.links > 0 and not self.title and not any(c.isalnum() for x in self.own for c in x)
 
 
+class Named:
+    """An element left out by its class or id: where it starts, and what it holds."""
+
+    __slots__ = ("articles", "layout", "main", "place", "size")
+
+    def __init__(self, place: tuple[int, int], layout: bool) -> None:
+        self.place, self.layout = place, layout
+        self.articles, self.main, self.size = 0, False, 0
+
+
 class Page(HTMLParser):
     """Lines of a page without its furniture, from the parser's events."""
 
-    def __init__(self) -> None:
+    def __init__(self, kept: frozenset[tuple[int, int]] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.kept = kept  # places of elements that their names do not remove
+        self.named: list[Named] = []
+        self.holder: Named | None = None
+        self.articles = 0
+        self.quiet = 0
         self.lines: list[Line] = []
         self.out: str | None = None  # the element that is left out, and how many of its name are open in it
         self.depth = 0
@@ -82,16 +105,28 @@ class Page(HTMLParser):
             return True
         if tag in ("html", "body"):
             return False
-        for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value and value.lower() in OUT_ROLES:
-                return True
-            if name in ("class", "id") and value and any(x in OUT_NAMES for x in re.split(r"[^a-z]+", value.lower())):
-                return True
-        return False
+        if any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value and value.lower() in OUT_ROLES for name, value in attrs):
+            return True
+        return bool(self.names(attrs)) and self.getpos() not in self.kept
+
+    @staticmethod
+    def names(attrs: list[tuple[str, str | None]]) -> list[set[str]]:
+        """Classes and ids with a furniture name, each as its parts."""
+        words = [set(re.split(r"[^a-z]+", x)) for name, value in attrs if name in ("class", "id") and value for x in value.lower().split()]
+        return [x for x in words if x & OUT_NAMES]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "article":
+            named = bool(self.names(attrs))
+            self.articles += not named
+            if self.holder:
+                self.holder.articles += not named
+        elif tag == "main" and self.holder:
+            self.holder.main = True
         if self.out:
-            if self.out in LOOSE and tag in BLOCKS:
+            if self.out == "head":
+                self.quiet += tag in QUIET
+            if self.out in LOOSE and tag in BLOCKS or self.out == "head" and (tag == "body" or tag in BLOCKS and not self.quiet):
                 self.leave()
             else:
                 self.depth += tag == self.out
@@ -100,7 +135,10 @@ class Page(HTMLParser):
         if self.furniture(tag, attrs):
             self.close_line()
             if tag not in VOID:
-                self.out, self.depth = tag, 1
+                self.out, self.depth, self.quiet = tag, 1, 0
+                if tag not in OUT and (names := self.names(attrs)) and self.getpos() not in self.kept:
+                    self.holder = Named(self.getpos(), all(x & LAYOUT for x in names))
+                    self.named.append(self.holder)
             return
         if tag in CONTAINERS:
             self.inside.append(tag)
@@ -120,12 +158,14 @@ class Page(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def leave(self) -> None:
-        self.out = None
+        self.out = self.holder = None
         if not self.inside:
             self.new_region(False)
 
     def handle_endtag(self, tag: str) -> None:
         if self.out:
+            if self.out == "head" and tag in QUIET:
+                self.quiet = max(0, self.quiet - 1)
             if tag == self.out:
                 self.depth -= 1
                 if not self.depth:
@@ -150,6 +190,13 @@ class Page(HTMLParser):
             self.line.parts.append(data)
             if not self.link:
                 self.line.own.append(data)
+        elif self.holder and not self.cdata_elem:
+            self.holder.size += len(" ".join(data.split()))
+
+    def wrappers(self) -> frozenset[tuple[int, int]]:
+        """Places of elements that were left out by name but hold the page's main part."""
+        size = sum(len(" ".join(p.split())) for x in self.lines for p in x.parts) + sum(x.size for x in self.named)
+        return frozenset(x.place for x in self.named if x.main or x.articles == self.articles == 1 or x.layout and 2 * x.size > size)
 
 
 def smoothed(ratios: list[float], spread: float = SPREAD, reach: int = REACH) -> list[float]:
@@ -162,13 +209,20 @@ def smoothed(ratios: list[float], spread: float = SPREAD, reach: int = REACH) ->
     return out
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    page = Page()
+def read(html: str, kept: frozenset[tuple[int, int]] = frozenset()) -> Page:
+    page = Page(kept)
     page.feed(html)
     page.close()
     page.close_line()
+    return page
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    page = read(html)
+    while more := page.wrappers():
+        page = read(html, page.kept | more)
     lines = [(text, x) for x in page.lines if (text := " ".join("".join(x.parts).split()))]
     if not lines:
         return ""

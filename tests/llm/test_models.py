@@ -138,6 +138,20 @@ def test_main_text_by_ratios(html, want):
     assert html_text.main_text(html) == " ".join(want.split())
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div class='content-sidebar-wrap'>{ARTICLE}<div class=sidebar>s</div></div>", WANT),
+        (f"<div class='layout-with-sidebar'><p>{LONG}</p><div id=sidebar>s</div></div><p>By us.</p>", LONG),
+        (f"<html><head><title>t</title><meta name=x><body>{ARTICLE}</body></html>", WANT),
+        (f"<head><noscript><div>no</div></noscript><title>t</title><div>{LONG}</div>", LONG),
+        (f"<p>{LONG}</p><div class=related>{CARDS}</div><div id=comments>{LONG * 9}</div>", LONG),
+    ],
+)
+def test_main_text_in_wrappers(html, want):
+    assert html_text.main_text(html) == " ".join(want.split())
+
+
 def test_pages_of_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = html_text.extract(pages)
