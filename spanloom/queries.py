@@ -302,6 +302,12 @@ def term_vectors(spark, sf_dir):
     return D.term_vector(index(spark, sf_dir).postings(["text"]), 7).select("term", "tf", F.element_at("positions", 1).alias("first_pos"))
 
 
+@query
+def term_vectors_all(spark, sf_dir):
+    """The vectors of all documents; term_vectors has one document's, as its SQL does."""
+    return index(spark, sf_dir).postings(["text"]).select("doc_id", "term", "tf", F.element_at("positions", 1).alias("first_pos"))
+
+
 @query
 def stored_fields(spark, sf_dir):
     s = searcher(spark, sf_dir)
