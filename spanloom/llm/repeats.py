@@ -1,16 +1,25 @@
-"""Removal of long repeated byte strings: bucket-pointer refinement over sampled suffixes.
+"""Removal of long repeated strings: bucket-pointer refinement of sampled suffixes.
 
-Two equal strings of LENGTH bytes hold equal GRAM-byte strings at equal places, and the one with the least hash in
-each is the same: the string's anchor. Suffixes therefore need buckets at anchors only, about one byte in 170. The
-initial bucket of an anchor is its q-gram. Bucket pointers of strings that start earlier and end later, relative to
-the anchor, refine it: a block of neighbouring start places is settled at once if the string that spans all of them
-is in a bucket with another suffix (every place is repeated), or if the string they have in common is in a bucket
-alone (none is). What is left is split and refined again by pointers of smaller blocks, down to single places, with
-only the suffixes that are still open. Pointers are 128-bit fingerprints (of the anchor's q-gram and of the string),
-so that equal strings get equal pointers in any task and no text is gathered to be sorted.
+Suffixes start in the buckets of their q-grams. A bucket of one suffix is done. The others are refined by the bucket
+identifiers found at later offsets, their pointers: the bucket of a suffix at twice the depth is named by its own
+identifier and the one as many units later, and the new identifiers are used again for the next depth, from 8 bytes
+(taken as they are) over 16, 32, 64 and 128 to 256. A string of any length from there up is named by the pointers of
+suffixes that cover it. Names are 64-bit numbers that follow from the pair alone, so that every task gives a string
+the same name and none has to look another's buckets up; sorting by them is left to aggregates and joins.
 
-Counts go through partial aggregates and joins by pointer, so a string that occurs everywhere is no hot spot beyond
-what adaptive joins split. Texts with open suffixes are found by a Bloom filter of bounded size and read again.
+Not every suffix needs a bucket. Equal strings of a scale's length hold equal q-grams at equal places, and the one with
+the least name in each is the same: their anchor, about one byte in 170. Anchors that are alone in their bucket go first.
+The windows of an anchor start within its reach. All of them are settled at once if the string that spans them is in a
+bucket with another. Else their starts are split into blocks, and those into smaller ones, down to single starts: a block
+is settled if the string that spans its windows is in a bucket with another suffix (every window is repeated), or if the
+string common to its windows is alone (none is). Of a settled bucket one suffix goes on, as a witness for those still open.
+
+There are two scales: strings of LENGTH bytes that start at another place, which are removed, and passages of PASSAGE
+words in another row, which are counted (`n_shared_words`), as most of so many words are shorter than LENGTH bytes.
+
+No text is gathered by key: buckets are partial aggregates, and what adaptive joins split has settled sides. Texts with
+open suffixes are found by a Bloom filter of bounded size and read again. A false match needs two equal 64-bit names of
+different strings in buckets of one q-gram.
 
 Cases: a null text counts as empty; texts under LENGTH bytes lose nothing. Repeated rows are copies of each other.
 Null ids are carried. Runs of one byte match at every shift, as the definition has it. An empty table gives an empty
@@ -21,64 +30,113 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.bloom import maybe_in
 from spanloom.llm.common import let_go, settle
-from spanloom.llm.shingles import BYTES, POWERS, mixed
-
-LENGTH, GRAM = 400, 64
-#: Sizes of the blocks of start places, from the first refinement to the last; REACH is a multiple of each.
-REACH = LENGTH - GRAM
-BLOCKS = (48, 8, 1)
-#: Bytes of a text that are hashed at a time; a power of two above it numbers their places.
-SEGMENT, PLACES = 1 << 18, np.uint64((1 << 20) - 1)
-#: Suffixes hashed together in refinement.
-TOGETHER = 1000
-_OTHER = mixed(BYTES + np.uint64(1)) | np.uint64(1)
+from spanloom.llm.shingles import paired, pieces, word_hashes, word_places
+
+LENGTH, PASSAGE = 400, 51
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Units a repeated string has, units of the initial buckets of anchors, and sizes of the blocks of starts."""
+
+    length: int
+    gram: int
+    blocks: tuple[int, ...]
+
+    @property
+    def reach(self) -> int:
+        return self.length - self.gram
+
+
+BYTES, WORDS = 0, 1
+#: A string under refinement has 4 to 12 grams' units: its blocks' common string and its anchor's longest span.
+SCALES = (Scale(LENGTH, 64, (48, 8, 1)), Scale(PASSAGE, 8, (6, 1)))
+#: Units whose buckets are named together; a power of two above numbers their places.
+TOGETHER, PLACES = 1 << 18, np.uint64((1 << 20) - 1)
+#: Texts, and suffixes under refinement, of a batch.
+ROWS = 1000
 #: id and check name a row: rows of one id with different texts are told apart, equal rows are alike.
 ROW = ["id", "check"]
-SUFFIX = [*ROW, "place", "low", "high", "gram"]
-
-
-class Hashes:
-    """Fingerprints of a buffer's substrings."""
-
-    def __init__(self, raw: np.ndarray, values: np.ndarray) -> None:
-        up, self.down = POWERS.upto(len(raw) + 1)
-        self.total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(values[raw] * up[:-1], out=self.total[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
-
-
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place, least and greatest start relative to it (of the windows with this anchor), q-gram pointer and pointer of
-    the string that all those windows span, of a text's anchors."""
-    out: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, len(raw) - LENGTH + 1, SEGMENT):
-        part = raw[at : at + SEGMENT + LENGTH - 1]
-        starts = np.arange(len(part) - GRAM + 1)
-        gram = Hashes(part, BYTES).of(starts, starts + GRAM)
-        # The least hash of each window, the first of equal ones, by running minima from both sides of fixed blocks.
-        width = REACH + 1
-        keyed = np.full(-(-len(gram) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-        keyed[: len(gram)] = (gram & ~PLACES) | starts.astype(np.uint64)
-        grid = keyed.reshape(-1, width)
-        ahead = np.minimum.accumulate(grid, axis=1).ravel()
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        n = len(part) - LENGTH + 1
-        place = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & PLACES).astype("int64")
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        last = np.r_[first[1:], n] - 1
-        own = place[first]
-        out.append((own + at, first - own, last - own, gram[own], Hashes(part, _OTHER).of(first, last + LENGTH)))
-    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, "uint64" if k > 2 else "int64") for k in range(5))
+LISTED = "id long, check long, kind byte, place long, low short, high short, gram long, span long, who long"
+SUFFIX = ["kind", "place", "low", "high", "gram", "lo", "hi"]
+
+
+def buckets(units: np.ndarray, kind: int) -> np.ndarray:
+    """The bucket of the gram at each place, by refinement from the least depth. Units: bytes, or hashes of words."""
+    ids, depth = (pieces(units)[: max(0, len(units) - 7)].copy(), 8) if kind == BYTES else (units, 1)
+    while depth < SCALES[kind].gram and len(ids):
+        ids, depth = paired(ids[:-depth], ids[depth:]), 2 * depth
+    return ids
+
+
+def strings(ids: np.ndarray, gram: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of strings of 4 to 12 grams' units, by the pointers of suffixes that cover them."""
+
+    def deeper(at: np.ndarray) -> np.ndarray:
+        twice = lambda p: paired(ids[p], ids[p + gram])
+        return paired(twice(at), twice(at + 2 * gram))
+
+    last = ends - 4 * gram
+    return paired(paired(deeper(starts), deeper((starts + last) // 2)), deeper(last) + (ends - starts).astype(np.uint64))
+
+
+def parted(texts: list[np.ndarray], length: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Parts (text, place, units) of texts, about TOGETHER units a list. Each window of `length` is in one part."""
+    out, size = [], 0
+    for k, units in enumerate(texts):
+        for at in range(0, len(units) - length + 1, TOGETHER):
+            out.append((k, at, units[at : at + TOGETHER + length - 1]))
+            size += len(out[-1][2])
+            if size >= TOGETHER:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def anchors(parts: list[tuple[int, int, np.ndarray]], kind: int) -> list[np.ndarray]:
+    """Text, place, least and greatest start relative to it (of the windows with this anchor), gram's bucket and name of
+    the string that all those windows span, of the parts' anchors."""
+    scale = SCALES[kind]
+    sizes = np.array([len(u) for _, _, u in parts])
+    base = np.cumsum(sizes) - sizes
+    ids = buckets(np.concatenate([u for _, _, u in parts]), kind)
+    # The least name in each window's reach, the first of equal ones, by running minima from both sides of fixed blocks.
+    width = scale.reach + 1
+    keyed = np.full(-(-len(ids) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
+    keyed[: len(ids)] = (ids & ~PLACES) | np.arange(len(ids), dtype=np.uint64)
+    grid = keyed.reshape(-1, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    windows = sizes - scale.length + 1
+    of = np.repeat(np.arange(len(parts)), windows)
+    start = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows - base, windows)
+    place = (np.minimum(behind[start], ahead[start + scale.reach]) & PLACES).astype("int64")
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    last = np.r_[first[1:], len(place)] - 1
+    own, part = place[first], of[first]
+    text, at = (np.array([p[k] for p in parts])[part] for k in (0, 1))
+    low, high = start[first] - own, start[last] - own
+    return [text, own - base[part] + at, low, high, ids[own], strings(ids, scale.gram, own + low, own + high + scale.length)]
+
+
+def words_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts and ends of all words of texts, parted by a byte, and the hashes of each text's words."""
+    joined = np.frombuffer(b" ".join(raws), "uint8")
+    starts, ends = word_places(joined)
+    sizes = np.array([len(r) for r in raws]) + 1
+    first = np.searchsorted(starts, np.cumsum(sizes)[:-1])
+    return starts, ends, np.split(word_hashes(joined, starts, ends), first)
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,66 +145,86 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text."""
+    """Anchors of each text. `who` tells what a string must differ in to be another one: the place, or the row."""
     let_go()
+    names = [x.split()[0] for x in LISTED.split(", ")]
     for whole in batches:
-        for at in range(0, len(whole), TOGETHER):
-            batch = whole.slice(at, TOGETHER)
-            parts = [anchors(np.frombuffer(t.as_py().encode(), "uint8")) for t in batch.column("text")]
-            owner = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
-            joined = [np.concatenate([p[k] for p in parts]) for k in range(5)]
-            arrays = [*(batch.column(c).take(owner) for c in ROW), *(pa.array(x.astype(t)) for x, t in zip(joined[:3], ("int64", "int16", "int16"))), *(pa.array(x.view("int64")) for x in joined[3:])]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "check", "place", "low", "high", "gram", "span"])
+        for at in range(0, len(whole), ROWS):
+            batch = whole.slice(at, ROWS)
+            raws = [t.as_py().encode() for t in batch.column("text")]
+            rows = batch.column("row").to_numpy()
+            for kind, texts in ((BYTES, [np.frombuffer(r, "uint8") for r in raws]), (WORDS, words_of(raws)[2])):
+                for parts in parted(texts, SCALES[kind].length):
+                    text, place, low, high, gram, span = anchors(parts, kind)
+                    who = paired(rows[text].astype("uint64"), place.astype("uint64")).view("int64") if kind == BYTES else rows[text]
+                    owner = pa.array(text)
+                    arrays = [batch.column("id").take(owner), batch.column("check").take(owner), pa.array(np.full(len(text), kind, "int8")), pa.array(place)]
+                    arrays += [pa.array(low.astype("int16")), pa.array(high.astype("int16")), pa.array(gram.view("int64")), pa.array(span.view("int64")), pa.array(who)]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The string around each open suffix."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.binary())
+    """The string around each open suffix: all of its windows."""
+    types = (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     out: list[tuple] = []
 
     def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["id", "check", "place", "low", "high", "gram", "around"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], [*ROW, *SUFFIX, "around"])
 
     for batch in batches:
-        for id_, check, text, parts in zip(*(batch.column(c) for c in ("id", "check", "text", "parts"))):
-            raw, name = text.as_py().encode(), (id_.as_py(), check.as_py())
+        for id_, check, text, parts in zip(*(batch.column(c) for c in (*ROW, "text", "parts"))):
+            raw, name, words = text.as_py().encode(), (id_.as_py(), check.as_py()), None
             for p in parts.as_py():
-                out.append((*name, p["place"], p["low"], p["high"], p["gram"], raw[p["place"] + p["low"] : p["place"] + p["high"] + LENGTH]))
-                if len(out) >= TOGETHER:
+                first, last = p["place"] + p["low"], p["place"] + p["high"] + SCALES[p["kind"]].length
+                if p["kind"] == WORDS:
+                    words = word_places(np.frombuffer(raw, "uint8")) if words is None else words
+                    first, last = words[0][first], words[1][last - 1]
+                out.append((*name, *(p[c] for c in SUFFIX), raw[first:last]))
+                if len(out) >= ROWS:
                     yield made()
                     out = []
     yield made()
 
 
-def _pointers(size: int, parent: int):
-    """For each open suffix, the blocks of start places still open and their pointers."""
+def _blocks(level: int):
+    """For each open suffix, its open blocks of the level's size, the names of what their windows have in common and of
+    what they span (null where the suffix has a part of the block only)."""
+
+    def of_kind(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        scale = SCALES[kind]
+        size, parent = scale.blocks[level], scale.blocks[max(0, level - 1)]
+        low, high = (batch.column(c).to_numpy().astype("int64") for c in ("low", "high"))
+        around = batch.column("around").to_pylist()
+        units = np.frombuffer(b"".join(around), "uint8") if kind == BYTES else np.concatenate(words_of(around)[2])
+        sizes = high - low + scale.length
+        base = np.cumsum(sizes) - sizes - low  # where the anchor lies
+        outer, lo, hi = (batch.column("open").flatten().field(k).to_numpy() for k in range(3))
+        # The parent's blocks, and those parts of them that the suffix has.
+        step = parent // size
+        number = np.repeat(np.arange(len(outer)), step)
+        owner = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column("open")).to_numpy())[number]
+        block = (outer.astype("int64")[:, None] * step + np.arange(step)).ravel()
+        begin, end = np.maximum(block * size, -scale.reach), np.minimum(block * size + size - 1, 0)
+        has = (begin <= end) & (end >= low[owner]) & (begin <= high[owner])
+        number, owner, block, begin, end = number[has], owner[has], block[has], begin[has], end[has]
+        full = (begin >= low[owner]) & (end <= high[owner])
+        ids, at = buckets(units, kind), base[owner]
+        common = strings(ids, scale.gram, at + end, at + begin + scale.length)
+        span = np.zeros(len(at), np.uint64)
+        span[full] = strings(ids, scale.gram, (at + begin)[full], (at + end)[full] + scale.length)
+        first, last = np.maximum(begin, low[owner]), np.minimum(end, high[owner])
+        arrays = [batch.column("suffix").take(pa.array(owner)), batch.column("gram").take(pa.array(owner)), pa.array(lo[number]), pa.array(hi[number]), pa.array(block.astype("int32")), pa.array(first.astype("int16")), pa.array(last.astype("int16"))]
+        arrays += [pa.array(common.view("int64")), pa.array(span.view("int64"), mask=~full)]
+        return pa.RecordBatch.from_arrays(arrays, ["suffix", "gram", "lo", "hi", "block", "first", "last", "common", "span"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), TOGETHER):
-                batch = whole.slice(at, TOGETHER)
-                low, high = (batch.column(c).to_numpy().astype("int64") for c in ("low", "high"))
-                around = batch.column("around").to_pylist()
-                lengths = np.array([len(x) for x in around])
-                base = np.cumsum(lengths) - lengths - low  # where the anchor lies in the buffer
-                open_ = batch.column("open").to_pylist()
-                owner = np.repeat(np.arange(len(open_)), [len(x) for x in open_])
-                parents = np.array([b for x in open_ for b in x], "int64")
-                # The parent's blocks, and those parts of them that the suffix has.
-                step = parent // size
-                block = (parents[:, None] * step + np.arange(step)).ravel()
-                owner = np.repeat(owner, step)
-                begin, end = np.maximum(block * size, -REACH), np.minimum(block * size + size - 1, 0)
-                has = (begin <= end) & (end >= low[owner]) & (begin <= high[owner])
-                block, owner, begin, end = block[has], owner[has], begin[has], end[has]
-                full = (begin >= low[owner]) & (end <= high[owner])
-                hashes = Hashes(np.frombuffer(b"".join(around), "uint8"), _OTHER)
-                common = hashes.of(base[owner] + end, base[owner] + begin + LENGTH)
-                a, b = np.where(full, base[owner] + begin, 0), np.where(full, base[owner] + end + LENGTH, 0)
-                span = hashes.of(a, b)
-                index = pa.array(owner)
-                arrays = [batch.column(c).take(index) for c in ("id", "check", "place", "low", "high", "gram")]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(block.astype("int32")), pa.array(common.view("int64")), pa.array(span.view("int64"), mask=~full)], ["id", "check", "place", "low", "high", "gram", "block", "common", "span"])
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                kinds = batch.column("kind").to_numpy()
+                for kind in (BYTES, WORDS):
+                    if (kinds == kind).any():
+                        yield of_kind(batch.filter(pa.array(kinds == kind)), kind)
 
     return run
 
@@ -156,13 +234,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for text, spans in zip(batch.column("text"), batch.column("spans")):
             raw, kept, removed, n, at = text.as_py().encode(), hashlib.sha256(), 0, 0, 0
-            for begin, end in merged([(s["begin"], s["end"]) for s in spans.as_py() or []]):
+            runs: tuple[list, list] = ([], [])
+            for s in spans.as_py() or []:
+                runs[s["kind"]].append((s["begin"], s["end"]))
+            for begin, end in merged(runs[BYTES]):
                 kept.update(raw[at:begin])
                 removed, n, at = removed + end - begin, n + 1, end
             kept.update(raw[at:])
-            found.append((len(raw), removed, n, kept.hexdigest()))
-        arrays = [batch.column("id"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3)), pa.array([f[3] for f in found], pa.string())]
-        yield pa.RecordBatch.from_arrays(arrays, ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            found.append((len(raw), removed, n, kept.hexdigest(), sum(end - begin for begin, end in merged(runs[WORDS]))))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([f[k] for f in found], t) for k, t in enumerate(types))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -176,56 +257,57 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _settled_blocks(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Rows whose blocks are repeated throughout, and (suffix, block) that go on. rows must be settled.
+def _shared(rows: DataFrame, key: list[str], *more: Column) -> DataFrame:
+    """Buckets that hold more than one string: key, lo and hi (the least and the greatest it holds)."""
+    return settle(rows.groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *more).where("lo <> hi"))
+
 
-    A block goes on if it is open, or as the witness of a bucket that is settled: one suffix of each such bucket, as
-    open suffixes may still share a part of its block.
-    """
+def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of blocks (settled): (suffix, first, last) of those that are repeated throughout, and (suffix, block, lo, hi) of
+    those that go on: open ones, and a witness of each settled bucket that shares its common string with one."""
     common, span = ["gram", "block", "common"], ["gram", "block", "common", "span"]
-    shared = rows.groupBy(*common).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    alive = rows.join(shared, common, "left_semi")
-    if last:
-        return alive, None
-    twice = rows.where("span is not null").groupBy(*span).agg(F.count("*").alias("n")).where("n > 1").select(*span, F.lit(True).alias("whole"))
-    judged = settle(alive.join(twice, span, "left"))
+    alive = settle(rows.join(_shared(rows, common).select(*common), common, "left_semi"))
+    twice = _shared(alive.where("span is not null"), span, F.min("suffix").alias("suffix"))
+    judged = settle(alive.join(twice.select(*span, F.lit(True).alias("whole")), span, "left"))
     still = judged.where("whole is null")
-    witness = judged.where("whole").groupBy(*span).agg(F.min(F.struct(*ROW, "place", "low", "high")).alias("s")).join(still, common, "left_semi").select("s.*", "gram", "block")
-    return judged.where("whole"), still.select(*SUFFIX, "block").unionByName(witness)
+    witness = twice.join(settle(still.select(*common).distinct()), common, "left_semi").select("suffix", "block", "lo", "hi")
+    return judged.where("whole").select("suffix", "first", "last"), still.select("suffix", "block", "lo", "hi").unionByName(witness)
 
 
 def repeated_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, check, begin, end: byte ranges that are all repeated, and together hold each repeated byte. They overlap."""
+    """kind, id, check, begin, end: ranges of units that are all repeated, and together hold each repeated unit. They
+    overlap."""
     rows = _rows(df, id_col, text_col)
-    listed = settle(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_list, "id long, check long, place long, low short, high short, gram long, span long"))
+    long_enough = rows.where(F.octet_length("text") >= min(LENGTH, 2 * PASSAGE - 1)).withColumn("row", F.monotonically_increasing_id())
+    listed = settle(long_enough.mapInArrow(_list, LISTED).withColumns({"lo": F.col("who"), "hi": F.col("who")}).drop("who"))
+    alive = settle(listed.join(_shared(listed, ["gram"]).select("gram"), "gram", "left_semi"))
     pointer = ["gram", "span", "low", "high"]
-    spans = settle(listed.groupBy(*pointer).agg(F.count("*").alias("n")))
-    grams = spans.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram")
-    repeated = spans.join(grams, "gram", "left_semi").select(*pointer, (F.col("n") > 1).alias("whole"))
-    judged = settle(listed.join(repeated, pointer).select(*SUFFIX, "span", "whole"))
-    begin, end = F.col("place") + F.col("low"), F.col("place") + F.col("high") + LENGTH
-    found = judged.where("whole").select(*ROW, begin.alias("begin"), end.alias("end"))
-
-    still = judged.where("not whole")
-    # Of each settled bucket one suffix goes on as its witness, where open ones share its q-gram.
-    witness = judged.where("whole").groupBy(*pointer).agg(F.min(F.struct(*ROW, "place")).alias("s")).join(still.select("gram"), "gram", "left_semi").select("s.*", "low", "high", "gram")
-    parts = settle(still.select(*SUFFIX).unionByName(witness).groupBy(*ROW).agg(F.collect_list(F.struct("place", "low", "high", "gram")).alias("parts")).withColumn("name", row_name()))
+    twice = _shared(alive, pointer, F.min(F.struct(*ROW, "kind", "place")).alias("one"))
+    judged = settle(alive.join(twice.select(*pointer, F.lit(True).alias("whole")), pointer, "left"))
+    length = F.when(F.col("kind") == BYTES, SCALES[BYTES].length).otherwise(SCALES[WORDS].length)
+    found = judged.where("whole").select("kind", *ROW, (F.col("place") + F.col("low")).alias("begin"), (F.col("place") + F.col("high") + length).alias("end"))
+
+    still = judged.where("whole is null")
+    witness = twice.join(settle(still.select("gram").distinct()), "gram", "left_semi").select("one.*", *pointer, "lo", "hi")
+    going = still.select(*ROW, *SUFFIX).unionByName(witness.select(*ROW, *SUFFIX))
+    parts = settle(going.groupBy(*ROW).agg(F.collect_set(F.struct(*SUFFIX)).alias("parts")).withColumn("name", row_name()))
     texts = maybe_in(rows.withColumn("name", row_name()), "name", parts, "name", "maybe").where("maybe").select("name", "text")
-    around = settle(texts.join(parts, "name").select(*ROW, "text", "parts").mapInArrow(_contexts, "id long, check long, place long, low short, high short, gram long, around binary"))
-    parent, opened = BLOCKS[0], None
-    for size in BLOCKS:
-        if opened is None:  # all blocks of this size, as one parent each
-            asked = around.withColumn("open", F.sequence(F.lit(-REACH // size), F.lit(0)))
-        else:
-            same = [F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")) for c in SUFFIX]
-            asked = around.alias("a").join(opened.alias("o"), same).select("a.*", "o.open")
-        made = settle(asked.mapInArrow(_pointers(size, parent), "id long, check long, place long, low short, high short, gram long, block int, common long, span long"))
-        whole, still = _settled_blocks(made, size == BLOCKS[-1])
-        first, last = F.greatest(F.col("block") * size, F.col("low")), F.least(F.col("block") * size + size - 1, F.col("high"))
-        found = found.unionByName(settle(whole.select(*ROW, (F.col("place") + first).alias("begin"), (F.col("place") + last + LENGTH).alias("end"))))
-        if still is None:
-            break
-        opened, parent = still.groupBy(*SUFFIX).agg(F.collect_set("block").alias("open")), size
+    contexts = texts.join(parts, "name").select(*ROW, "text", "parts").mapInArrow(_contexts, "id long, check long, kind byte, place long, low short, high short, gram long, lo long, hi long, around binary")
+    around = settle(contexts.withColumn("suffix", F.monotonically_increasing_id()))
+    inner = []
+    first = lambda k: F.lit(-(-(-SCALES[k].reach // SCALES[k].blocks[0])))
+    every = F.sequence(F.when(F.col("kind") == BYTES, first(BYTES)).otherwise(first(WORDS)), F.lit(0))
+    asked = around.withColumn("open", F.transform(every, lambda b: F.struct(b.alias("block"), F.col("lo").alias("lo"), F.col("hi").alias("hi"))))
+    for level in range(max(len(s.blocks) for s in SCALES)):
+        made = settle(asked.select("suffix", "kind", "low", "high", "gram", "around", "open").mapInArrow(_blocks(level), "suffix long, gram long, lo long, hi long, block int, first short, last short, common long, span long"))
+        whole, opened = _settled(made)
+        inner.append(whole)
+        # A block of one start is settled or gone, so nothing is open after the last level.
+        grouped = settle(opened.groupBy("suffix").agg(F.collect_set(F.struct("block", "lo", "hi")).alias("open")))
+        asked = around.join(grouped, "suffix")
+    names = around.select("suffix", "kind", *ROW, "place")
+    for whole in inner:
+        found = found.unionByName(whole.join(names, "suffix").select("kind", *ROW, (F.col("place") + F.col("first")).alias("begin"), (F.col("place") + F.col("last") + length).alias("end")))
     return found
 
 
@@ -235,9 +317,10 @@ def row_name() -> Column:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans = settle(repeated_spans(df, id_col, text_col).groupBy(*ROW).agg(F.collect_set(F.struct("begin", "end")).alias("spans")).select(row_name().alias("name"), "spans"))
+    """One row per row of df: id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words."""
+    spans = settle(repeated_spans(df, id_col, text_col).groupBy(*ROW).agg(F.collect_set(F.struct("kind", "begin", "end")).alias("spans")).select(row_name().alias("name"), "spans"))
     rows = maybe_in(_rows(df, id_col, text_col).withColumn("name", row_name()), "name", spans, "name", "maybe")
-    alone = rows.where("not maybe").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    cut = rows.where("maybe").join(spans, "name", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    none = F.lit(0).cast("long")
+    alone = rows.where("not maybe").select("id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), none.alias("n_shared_words"))
+    cut = rows.where("maybe").join(spans, "name", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long")
     return alone.unionByName(cut).withColumnRenamed("id", id_col)

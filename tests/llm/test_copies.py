@@ -16,15 +16,21 @@ def brute_repeats(rows):
     raws = [(i, (t or "").encode()) for i, t in rows]
     for _, raw in raws:
         seen.update(raw[k : k + 400] for k in range(len(raw) - 399))
+    passages = defaultdict(set)
+    words = [r.split() for _, r in raws]
+    for n, own in enumerate(words):
+        for k in range(len(own) - 50):
+            passages[tuple(own[k : k + 51])].add(n)
     out = Counter()
-    for i, raw in raws:
+    for n, (i, raw) in enumerate(raws):
+        shared = {j for k in range(len(words[n]) - 50) if len(passages[tuple(words[n][k : k + 51])]) > 1 for j in range(k, k + 51)}
         gone = bytearray(len(raw))
         for k in range(len(raw) - 399):
             if seen[raw[k : k + 400]] > 1:
                 gone[k : k + 400] = b"\1" * 400
         runs = sum(1 for k in range(len(raw)) if gone[k] and (k == 0 or not gone[k - 1]))
         kept = bytes(b for b, g in zip(raw, gone) if not g)
-        out[i, len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest()] += 1
+        out[i, len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest(), len(shared)] += 1
     return out
 
 
@@ -55,17 +61,35 @@ def test_repeats_planted(spark, seed, monkeypatch):
     rows = planted(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = repeats.remove_repeats(df)
-    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"]
     assert Counter(tuple(r) for r in out.collect()) == brute_repeats(rows)
 
 
 def test_anchors_do_not_depend_on_segments(monkeypatch):
-    raw = np.frombuffer(("lorem ipsum dolor sit amet, " * 40 + "".join(random.Random(3).choices("abcdef ", k=5000))).encode(), "uint8")
-    chosen = lambda: {(p + d, p, g) for p, low, high, g, _ in zip(*repeats.anchors(raw)) for d in range(low, high + 1)}
-    whole = chosen()
-    assert {s for s, _, _ in whole} == set(range(len(raw) - 399))
-    monkeypatch.setattr(repeats, "SEGMENT", 700)
-    assert chosen() == whole
+    text = ("lorem ipsum dolor sit amet, " * 40 + "".join(random.Random(3).choices("abcdef ", k=5000))).encode()
+    for kind, units in ((repeats.BYTES, np.frombuffer(text, "uint8")), (repeats.WORDS, repeats.words_of([text])[2][0])):
+        length = repeats.SCALES[kind].length
+
+        def chosen(kind=kind, units=units, length=length):
+            made = [repeats.anchors(parts, kind) for parts in repeats.parted([units[:0], units, units[:500]], length)]
+            return {(t, p + d, p, g) for x in made for t, p, low, high, g, _ in zip(*x) for d in range(low, high + 1)}
+
+        monkeypatch.setattr(repeats, "TOGETHER", 1 << 18)
+        whole = chosen()
+        assert {s for t, s, _, _ in whole if t == 1} == set(range(len(units) - length + 1))
+        monkeypatch.setattr(repeats, "TOGETHER", 700)
+        assert chosen() == whole
+
+
+def test_names_tell_strings_apart():
+    """Sums of powers modulo 2^64 give these two words one value, whatever the base."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+        if len(a) >= 1024:
+            assert len({*shingles(a, 4).tolist(), *shingles(b, 4).tolist()}) == 2
+            ids = [repeats.strings(repeats.buckets(np.frombuffer(x.encode(), "uint8"), repeats.BYTES), 64, np.array([0]), np.array([700]))[0] for x in (a, b)]
+            assert ids[0] != ids[1]
 
 
 def test_repeats_of_tables(spark, odd, nothing):
