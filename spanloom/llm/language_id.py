@@ -1,23 +1,24 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of a bounded sample of labelled text is built. A text is cut into phrases, each
-the longest string from where the last ended that the language's sample holds; the entropy is the number of phrases
-times log2(sample length) by the text's length, and the language that needs fewest normalised phrases wins. Texts
-are lower-cased, runs of anything but letters become one space, and parsing starts anew every BLOCK characters, so
-that memory is bounded and long texts are parsed side by side. Automata are tables over a shared alphabet; all blocks
-of a batch advance by a character in one vector step.
-
-Cases: a null text, an empty one or one without a letter is `und` with score 0. A text whose letters no sample has
-is a tie; ties go to the smaller language name. Without labelled rows every text is `und`,
-and `drop_unidentified` drops texts without a letter only. Null ids are never held
-out. Rows with null labels are predicted, not learned from. Repeated rows are treated alike. Extra columns are
-ignored by `identify`; `drop_unidentified` carries them, whatever their names.
+the longest string from where the last ended that the language's sample holds, or else one letter; the entropy is the
+number of phrases times log2(sample length) by the text's length, and the language that needs fewest normalised phrases
+wins. Texts are lower-cased, and runs of anything but letters become one space. Letters are code points, of any script.
+
+All automata share one table of transitions, whose size follows the samples (some 400 bytes a character of ALL_CHARS in
+all), not the languages' letters: the most frequent letters have columns, all others a hash table. Texts are parsed in blocks side by side, a letter of all blocks in one vector step;
+blocks are then joined so that phrases are those of one parse of the whole text.
+
+Cases: a null text, an empty one or one without a letter is `und` with score 0. A letter that a sample lacks is a phrase
+of its own there; of a text of such letters only, the language with the shortest sample is the nearest. Ties go to the
+smaller language name. Without labelled rows every text is `und`, and `drop_unidentified` drops texts without a letter
+only. Null ids are never held out. Rows with null labels are predicted, not learned from. Repeated rows are treated
+alike. Extra columns are ignored by `identify`; `drop_unidentified` carries them, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -28,13 +29,18 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import held
 
-#: The sample of a language: about so many documents, so many characters of each and of all at most.
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 100, 10_000, 40_000
-BLOCK, ALPHABET = 4096, 64
-#: Characters parsed side by side at most, about.
-SIDE_BY_SIDE = 1 << 20
+#: The sample of a language: about so many documents, so many characters of all at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 100, 40_000
+#: Characters of all languages' samples together at most; beyond 15 languages, a language's sample gets shorter.
+ALL_CHARS = 600_000
+#: Characters of a block, and characters parsed side by side, about.
+BLOCK, SIDE_BY_SIDE = 4096, 1 << 21
 SHARPNESS = 8.0
-UNKNOWN, SPACE = 0, 1
+#: Columns of a state's row, the first for letters that have none. Bits of a letter's number.
+SPACE, DENSE, LETTER_BITS = 32, 64, 21
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: So few parses go on one by one.
+FEW = 24
 
 
 def held_out(id_: Column, of: int = 5, remainder: int = 0) -> Column:
@@ -42,17 +48,26 @@ def held_out(id_: Column, of: int = 5, remainder: int = 0) -> Column:
 
 
 def samples(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column) -> dict[str, str]:
-    """Labelled text by language: a hash sample of documents, the same in each run."""
+    """Labelled text by language: a hash sample of documents, the same in each run.
+
+    Documents are taken whole, in the order of their hash, while they fit. Only a language without any that fits has a
+    part of one. Equal rows have one hash and count once.
+    """
     usable = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # a row per language
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))]), F.col(lang_col)) if counts else F.lit(0.0)
-    order = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1_000_000))
+    order = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), 1)
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).agg(F.approx_count_distinct(order)).collect()}  # a row per language
+    if not counts:
+        return {}
+    room = min(SAMPLE_CHARS, ALL_CHARS // len(counts))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SAMPLE_DOCS / max(1, n)))]), F.col(lang_col))
     # A language of few documents is taken whole; else about SAMPLE_DOCS are.
-    rows = usable.where(order < share * 1_000_000).select(F.col(lang_col).alias("lang"), order.alias("order"), F.substring(text_col, 1, SAMPLE_DOC_CHARS).alias("text")).collect()
+    some = usable.where(order <= share * float(1 << 63)).select(F.col(lang_col).alias("lang"), order.alias("order"), (F.length(text_col) > room).alias("long"), F.substring(text_col, 1, room).alias("text"))
+    rows = some.groupBy("lang", "order", "long").agg(F.min("text").alias("text")).collect()
     out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["order"], r["text"])):
-        if len(out.get(r["lang"], "")) < SAMPLE_CHARS:
-            out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:SAMPLE_CHARS]
+    for r in sorted(rows, key=lambda r: (r["lang"], r["long"], r["order"])):
+        held_ = out.get(r["lang"])
+        if held_ is None or not r["long"] and len(held_) + len(r["text"]) < room:
+            out[r["lang"]] = r["text"] if held_ is None else f"{held_} {r['text']}"
     return out
 
 
@@ -61,6 +76,18 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)], bool)
 
 
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, lower-cased, with a space for each run of anything but letters; and their number by text."""
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "uint32")
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
+    space = ~letters()[codes]
+    keep = ~space
+    keep[1:] |= ~space[:-1] | (owner[1:] != owner[:-1])
+    keep[:1] = True
+    return np.where(space, SPACE, codes)[keep], np.bincount(owner[keep], minlength=len(texts))
+
+
 def automaton(codes: list[int]) -> list[dict[int, int]]:
     """Transitions of the suffix automaton's states; state 0 is the root."""
     moves: list[dict[int, int]] = [{}]
@@ -91,92 +118,190 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+class Moves:
+    """Transitions of all automata: a row of DENSE numbers a state for the most frequent letters, and an open-addressed
+    table for all others, so that memory follows the samples and not the number of letters.
+
+    States are numbered in steps of DENSE; state 0 has no moves. Letters are numbered by falling frequency from 1; 0 is
+    any that no sample has.
+    """
+
+    def __init__(self, states: list[dict[int, int]]) -> None:
+        state = np.repeat(np.arange(len(states)), [len(out) for out in states])
+        letter = np.array([c for out in states for c in out], "int64")
+        to = np.array([to for out in states for to in out.values()], "int64") * DENSE
+        self.dense = np.zeros(len(states) * DENSE, "int32")
+        often = letter < DENSE
+        self.dense[state[often] * DENSE + letter[often]] = to[often]
+        self.keys, self.to = (state[~often] << LETTER_BITS) + letter[~often], to[~often]
+        bits = max(4, (3 * len(self.keys)).bit_length())
+        self.slots, self.last, self.down = np.full(1 << bits, -1), (1 << bits) - 1, np.uint64(64 - bits)
+        slot, own = self._slots(self.keys), np.arange(len(self.keys))
+        while len(own):
+            empty = self.slots[slot] < 0
+            self.slots[slot[empty]] = own[empty]
+            left = self.slots[slot] != own  # someone else's
+            own, slot = own[left], slot[left] + 1 & self.last
+
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype("uint64") * _SPREAD >> self.down).view("int64")
+
+    def rare(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The state after each letter that has no column; 0 where there is none."""
+        key, out, left = (state.astype("int64") // DENSE << LETTER_BITS) + c, np.zeros(len(state), "int32"), np.arange(len(state))
+        slot = self._slots(key)
+        while len(left):
+            at = self.slots[slot]
+            there = at >= 0
+            left, key, slot, at = left[there], key[there], slot[there], at[there]
+            hit = self.keys[at] == key
+            out[left[hit]] = self.to[at[hit]]
+            left, key, slot = left[~hit], key[~hit], slot[~hit] + 1 & self.last
+        return out
+
+    def after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The state after each letter; 0 where there is none."""
+        out = self.dense.take(state + np.where(c < DENSE, c, 0))
+        rare = np.flatnonzero(c >= DENSE)
+        if len(rare):
+            out[rare] = self.rare(state[rare], c[rare])
+        return out
+
+
 class Parser:
     """Counts phrases against every language's automaton at once."""
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
-        lowered = {lang: "".join(c if c.isalpha() else " " for c in texts[lang].lower()).split() for lang in self.langs}
-        kept = {lang: " " + " ".join(lowered[lang]) + " " for lang in self.langs}
-        shares: Counter = Counter()
-        for lang in self.langs:
-            n = len(kept[lang])
-            shares.update({c: k / n for c, k in Counter(kept[lang]).items()})
-        alphabet = [c for c, _ in sorted(shares.items(), key=lambda x: (-x[1], x[0])) if c != " "][: ALPHABET - 2]
-        self.codes = np.where(letters(), UNKNOWN, SPACE).astype("uint8")
-        for k, c in enumerate(alphabet):
-            self.codes[ord(c)] = k + 2
-        size = ALPHABET
-        tables, roots, total = [np.zeros((1, size), "int32")], [], 1  # row 0: no such string
-        for lang in self.langs:
-            coded = self.codes[np.frombuffer(kept[lang].encode("utf-32-le"), "uint32")]
-            moves = automaton(coded.tolist())
-            own = np.zeros((len(moves), size), "int32")
-            for state, out in enumerate(moves):
-                for c, to in out.items():
-                    if c != UNKNOWN:
-                        own[state, c] = (total + to) * size
-            tables.append(own)
-            roots.append(total)
-            total += len(moves)
-        self.table = np.concatenate(tables).ravel()
-        self.roots = np.array(roots, "int32") * size
-        again = self.table[self.roots[:, None] + np.arange(size)]
-        self.again = np.where(again == 0, self.roots[:, None], again)
-        self.bits = np.array([math.log2(max(2, len(kept[lang]))) for lang in self.langs])
+        coded = [codes_of([f" {texts[lang]} "])[0] for lang in self.langs]
+        shares: dict[int, float] = {}
+        for own in coded:
+            for c, n in zip(*(x.tolist() for x in np.unique(own, return_counts=True))):
+                shares[c] = shares.get(c, 0.0) + n / len(own)
+        known = sorted(shares, key=lambda c: (-shares[c], c))
+        self.number = np.zeros(0x110000, "int32")
+        self.number[known] = np.arange(1, len(known) + 1)
+        states: list[dict[int, int]] = [{}]
+        self.first = np.zeros((len(coded), len(known) + 1), "int32")  # the state after a phrase's first letter
+        for k, own in enumerate(coded):
+            root = len(states)
+            states += [{c: to + root for c, to in out.items()} for out in automaton(self.number[own].tolist())]
+            for c, to in states[root].items():
+                self.first[k, c] = to * DENSE
+        self.moves = Moves(states)
+        self.bits = np.array([math.log2(max(2, len(own))) for own in coded])
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits by language and normalised length, of each text; rows (text, language)."""
+        """Phrases by language, and normalised length, of each text; rows (text, language)."""
         counts, lengths = np.zeros((len(texts), len(self.langs)), "int64"), np.zeros(len(texts), "int64")
-        held: list[str] = []
-        owner: list[int] = []
-        size = 0
+        first, size = 0, 0
         for k, text in enumerate(texts):
-            for at in range(0, len(text or ""), BLOCK):
-                held.append(text[at : at + BLOCK].lower())
-                owner.append(k)
-                size += len(held[-1])
-                if size >= SIDE_BY_SIDE:
-                    self._side_by_side(held, owner, counts, lengths)
-                    held, owner, size = [], [], 0
-        if held:
-            self._side_by_side(held, owner, counts, lengths)
+            size += len(text or "")
+            if size >= SIDE_BY_SIDE or k == len(texts) - 1:
+                counts[first : k + 1], lengths[first : k + 1] = self._side_by_side([t or "" for t in texts[first : k + 1]])
+                first, size = k + 1, 0
         return counts, lengths
 
-    def _side_by_side(self, held: list[str], owner: list[int], counts: np.ndarray, lengths: np.ndarray) -> None:
-        sizes = np.array([len(x) for x in held])
-        codes = self.codes[np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), "uint32")]
-        block = np.repeat(np.arange(len(held), dtype="int32"), sizes)
-        first = np.zeros(len(codes), bool)
-        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        keep = (codes != SPACE) | np.r_[True, codes[:-1] != SPACE] & ~first
-        codes, block = codes[keep], block[keep]
-        sizes = np.bincount(block, minlength=len(held))
-        np.add.at(lengths, owner, sizes)
-        order = np.argsort(-sizes, kind="stable")
-        column = np.empty(len(held), "int32")
-        column[order] = np.arange(len(held))
-        place = np.arange(len(codes), dtype="int32") - np.repeat((np.cumsum(sizes) - sizes).astype("int32"), sizes)
-        grid = np.zeros((int(sizes.max(initial=0)), len(held)), "uint8")
-        grid[place, column[block]] = codes
-        falling = sizes[order]
-        state = np.repeat(self.roots[:, None], len(held), axis=1)
-        made = np.zeros(state.shape, "int32")
-        active = np.searchsorted(-falling, -np.arange(len(grid)), "left")
-        for t in range(len(grid)):
+    def _side_by_side(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts are cut to blocks that are parsed side by side, each from its start. A block's parse is then taken up
+        where the one before leaves off; parses meet as a rule after a few phrases, and from there on they agree."""
+        codes, lengths = codes_of(texts)
+        codes = self.number[codes]
+        blocks = -(-lengths // BLOCK)
+        owner = np.repeat(np.arange(len(texts)), blocks)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        order = np.argsort(-np.minimum(BLOCK, lengths[owner] - nth * BLOCK), kind="stable")
+        owner, nth = owner[order], nth[order]
+        upto = np.cumsum(lengths)[owner]  # where the block's text ends
+        start = upto - lengths[owner] + nth * BLOCK
+        end = np.minimum(start + BLOCK, upto)
+        height, wide, many = int((end - start).max(initial=0)), len(owner), len(self.langs)
+        made = np.zeros((height, many, wide), bool)  # whether a phrase starts at a place of a block
+        state = np.zeros((many, wide), "int32")
+        active = np.searchsorted(start - end, -np.arange(height), "left")
+        seldom = bool((codes >= DENSE).any())
+        for t in range(height):
             n = active[t]
-            c = grid[t, :n]
-            to = self.table.take(state[:, :n] + c)
-            lost = to == 0
-            made[:, :n] += lost
-            state[:, :n] = np.where(lost, self.again[:, c], to)
-        np.add.at(counts, np.asarray(owner)[order], made.T)
+            c = codes[start[:n] + t]
+            to = self.moves.dense.take(state[:, :n] + (np.where(c < DENSE, c, 0) if seldom else c))
+            if seldom and len(lane := np.flatnonzero(c >= DENSE)):
+                to[:, lane] = self.moves.rare(state[:, lane].ravel(), np.tile(c[lane], many)).reshape(many, -1)
+            lost = np.equal(to, 0, out=made[t, :, :n])
+            state[:, :n] = np.where(lost, self.first[:, c], to)
+        # Each block's last phrase goes on into the next one.
+        later = np.flatnonzero(end < upto)
+        language, lane = (x.ravel() for x in np.meshgrid(np.arange(many), later, indexing="ij"))
+        leaves = np.broadcast_to(end, (many, wide)).copy()
+        self._go_on(codes, language, lane, end[lane], state[language, lane], start, end, upto, made, leaves)
+        entered = np.broadcast_to(start, (many, wide)).copy()
+        place = {(o, k): x for x, (o, k) in enumerate(zip(owner.tolist(), nth.tolist()))} if len(later) else {}
+        follower = np.array([place[o, k + 1] for o, k in zip(owner[later].tolist(), nth[later].tolist())], "int64")
+        while True:
+            language, which = np.nonzero(leaves[:, later] != entered[:, follower])
+            if not len(which):
+                break
+            lane, at = follower[which], leaves[language, later[which]]
+            entered[language, lane] = at
+            for k in range(int((np.minimum(at, end[lane]) - start[lane]).max())):  # what starts before is not a phrase
+                before = start[lane] + k < at
+                made[np.minimum(k, height - 1), language[before], lane[before]] &= start[lane[before]] + k >= end[lane[before]]
+            past = at >= end[lane]  # a phrase that holds the whole block
+            leaves[language[past], lane[past]] = at[past]
+            own = ~past
+            self._go_on(codes, language[own], lane[own], at[own], np.zeros(int(own.sum()), "int32"), start, end, upto, made, leaves)
+        counts = np.zeros((len(texts), many), "int64")
+        np.add.at(counts, owner, made.sum(axis=0).T)
+        return counts, lengths
+
+    def _go_on(self, codes, language, lane, at, state, start, end, upto, made, leaves) -> None:
+        """Parses on from places `at`, until a phrase starts where the block's former parse has one or after the block's
+        end; corrects `made` and `leaves` on the way."""
+        while len(at):
+            if len(at) <= FEW:
+                for x in zip(language.tolist(), lane.tolist(), at.tolist(), state.tolist()):
+                    self._go_on_alone(codes, *x, start, end, upto, made, leaves)
+                break
+            over = at >= upto[lane]
+            leaves[language[over], lane[over]] = at[over]
+            if over.any():
+                language, lane, at, state = (x[~over] for x in (language, lane, at, state))
+                if not len(at):
+                    break
+            c = codes[at]
+            to = self.moves.after(state, c)
+            lost, inside = to == 0, at < end[lane]
+            k = np.minimum(at - start[lane], made.shape[0] - 1)
+            met = lost & inside & made[k, language, lane]
+            out = lost & ~inside
+            leaves[language[out], lane[out]] = at[out]
+            made[k[inside], language[inside], lane[inside]] = lost[inside]
+            again = np.flatnonzero(lost)
+            to[again] = self.first[language[again], c[again]]
+            stay = ~(met | out)
+            language, lane, at, state = language[stay], lane[stay], at[stay] + 1, to[stay]
+
+    def _go_on_alone(self, codes, language: int, lane: int, at: int, state: int, start, end, upto, made, leaves) -> None:
+        """`_go_on` of one block, a letter at a time."""
+        dense, first, own = self.moves.dense, self.first[language], made[:, language, lane]
+        begin, stop, last = start.item(lane), end.item(lane), upto.item(lane)
+        while at < last:
+            c = codes.item(at)
+            to = dense.item(state + c) if c < DENSE else self.moves.rare(np.array([state]), np.array([c])).item(0)
+            if at < stop:
+                if not to and own.item(at - begin):
+                    return
+                own[at - begin] = not to
+            elif not to:
+                break
+            state = to or first.item(c)
+            at += 1
+        leaves[language, lane] = at
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(texts)
         counts, lengths = self.phrases(texts)
-        bits = (counts + 1) * self.bits / np.maximum(lengths, 1)[:, None]
+        bits = counts * self.bits / np.maximum(lengths, 1)[:, None]
         best = bits.argmin(axis=1)
         near = np.exp2(-SHARPNESS * (bits - bits.min(axis=1, keepdims=True))).sum(axis=1)
         return [(self.langs[b], float(1 / s)) if t and any(map(str.isalpha, t)) else ("und", 0.0) for t, b, s in zip(texts, best, near)]

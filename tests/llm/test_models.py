@@ -1,6 +1,7 @@
 """Language identification, quality, page text and vector search against held-out labels or brute force."""
 
 import math
+import random
 import zlib
 
 import pytest
@@ -42,25 +43,78 @@ def test_nothing_learned_drops_texts_without_letters_only(odd):
     assert len(want) > 5 and sorted(map(str, kept)) == sorted(map(str, want))
 
 
-def test_phrases_are_longest_matches():
-    sample = {"a": "the quick brown fox jumps over the lazy dog", "b": "voix ambigue d un coeur qui au zephyr prefere les jattes de kiwis"}
-    parser = language_id.Parser(sample)
-    texts = ["the quick dog", "QUI au fox", "zzzz", "x", "over   the 12 dog's coeur", "the lazy " * 700]
-    counts, _ = parser.phrases(texts)
-    for text, row in zip(texts, counts):
-        for lang, found in zip(parser.langs, row):
-            known, n = f" {sample[lang]} ", 0
-            for at in range(0, len(text), language_id.BLOCK):
-                part = "".join(c if c.isalpha() else " " for c in text[at : at + language_id.BLOCK].lower())
-                part = "".join(c for i, c in enumerate(part) if c != " " or i == 0 or part[i - 1] != " ")
-                held = ""
-                for c in part:
-                    if held + c in known:
-                        held += c
-                    else:
-                        n += 1
-                        held = c if c in known else ""
-            assert n == found, (text[:20], lang)
+def spaced(text):
+    text = text.lower()
+    return "".join(c if c.isalpha() else " " if not k or text[k - 1].isalpha() else "" for k, c in enumerate(text))
+
+
+def brute_phrases(known, text):
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+@pytest.mark.parametrize(("dense", "few", "block"), [(64, 24, 4096), (64, 24, 7), (3, 0, 64), (2, 24, 16), (64, 0, 9)])
+def test_phrases_are_longest_matches(monkeypatch, dense, few, block):
+    for name, value in (("DENSE", dense), ("FEW", few), ("BLOCK", block)):
+        monkeypatch.setattr(language_id, name, value)
+    draw = random.Random(block)
+    for letters in ("abc ", "ab  \u4e2d\u6587\u5b57", "xyz\u00e9\u00df. \U0001d7d8"):
+        word = lambda n: "".join(draw.choices(letters, k=n))  # noqa: B023, E731
+        sample = {lang: word(draw.randint(1, 60)) for lang in "pqr"} | {"s": "aaa"}
+        texts = [*(word(draw.randint(0, 200)) for _ in range(20)), sample["p"] * 3, sample["q"][3:], "", None, "a" * 100, "1 2", "the lazy " * 300]
+        parser = language_id.Parser(sample)
+        counts, lengths = parser.phrases(texts)
+        for text, row, n in zip(texts, counts, lengths):
+            assert n == len(spaced(text or ""))
+            assert row.tolist() == [brute_phrases(spaced(f" {sample[lang]} "), spaced(text or "")) for lang in parser.langs], text
+        for text, (lang, score) in zip(texts, parser.predict(texts)):
+            if any(map(str.isalpha, text or "")):
+                size = len(spaced(text))
+                bits = {x: brute_phrases(spaced(f" {sample[x]} "), spaced(text)) * math.log2(max(2, len(spaced(f" {sample[x]} ")))) / size for x in parser.langs}
+                best = min(bits.values())
+                assert lang == min(x for x in bits if math.isclose(bits[x], best)) and 0 < score <= 1
+            else:
+                assert (lang, score) == ("und", 0.0)
+
+
+def scripts(seed):
+    """Invented words of several scripts; each language has more letters than a state has columns, or few."""
+    draw = random.Random(seed)
+    ranges = {"zh": (0x4E00, 900), "ja": (0x3041, 170), "ko": (0xAC00, 800), "ru": (0x430, 32), "el": (0x3B1, 24), "ar": (0x627, 36), "hi": (0x905, 50), "en": (0x61, 26), "tr": (0x61, 26)}
+    out = {}
+    for lang, (first, n) in ranges.items():
+        words = ["".join(chr(first + draw.randrange(n)) for _ in range(draw.randint(1, 6))) for _ in range(400)]
+        out[lang] = lambda k, words=words: " ".join(draw.choices(words, k=k))
+    return out
+
+
+def test_languages_of_any_script(spark):
+    made = scripts(8)
+    rows = [(k, text(60), lang) for k, (lang, text) in enumerate((lang, text) for lang, text in made.items() for _ in range(30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    truth = {k: lang for k, _, lang in rows}
+    found = language_id.identify(df).collect()
+    assert all(truth[r["doc_id"]] == r["lang_pred"] and r["score"] > 0.5 for r in found)
+    assert any(r["held_out"] for r in found)
+    # What a sample holds word for word is of its language.
+    samples = language_id.samples(df, "doc_id", "text", "lang", F.lit(True))
+    assert set(samples) == set(made)
+    parser = language_id.Parser(samples)
+    assert [lang for lang, _ in parser.predict([x[500:900] for x in samples.values()])] == list(samples)
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 500)
+    long, copies = [(1, "x" * 900, "a")], [(7, "many rows of one id", "b")] * 300
+    rows = [*long, *copies, (None, None, "b"), *((None, f"null id {k}", "c") for k in range(300)), *((k, f"row {k}", "d") for k in range(300))]
+    out = language_id.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), "doc_id", "text", "lang", F.lit(True))
+    assert out["a"] == "x" * 500 and out["b"] == "many rows of one id"
+    assert all(len(x) <= 500 for x in out.values()) and len(out["c"]) > 400 and len(out["d"]) > 400
 
 
 # Quality.
