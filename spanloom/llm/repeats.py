@@ -61,6 +61,7 @@ class Scale:
 BYTES, WORDS = 0, 1
 #: A string under refinement has 4 to 12 grams' units: its blocks' common string and its anchor's longest span.
 SCALES = (Scale(LENGTH, 64, (48, 8, 1)), Scale(PASSAGE, 8, (6, 1)))
+LEVELS = max(len(s.blocks) for s in SCALES)
 #: Units whose buckets are named together; a power of two above numbers their places.
 TOGETHER, PLACES = 1 << 18, np.uint64((1 << 20) - 1)
 #: Texts, and suffixes under refinement, of a batch.
@@ -144,23 +145,26 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.crc32(text.cast("binary")).alias("check"), text.alias("text"))
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text. `who` tells what a string must differ in to be another one: the place, or the row."""
-    let_go()
-    names = [x.split()[0] for x in LISTED.split(", ")]
-    for whole in batches:
-        for at in range(0, len(whole), ROWS):
-            batch = whole.slice(at, ROWS)
-            raws = [t.as_py().encode() for t in batch.column("text")]
-            rows = batch.column("row").to_numpy()
-            for kind, texts in ((BYTES, [np.frombuffer(r, "uint8") for r in raws]), (WORDS, words_of(raws)[2])):
-                for parts in parted(texts, SCALES[kind].length):
-                    text, place, low, high, gram, span = anchors(parts, kind)
-                    who = paired(rows[text].astype("uint64"), place.astype("uint64")).view("int64") if kind == BYTES else rows[text]
-                    owner = pa.array(text)
-                    arrays = [batch.column("id").take(owner), batch.column("check").take(owner), pa.array(np.full(len(text), kind, "int8")), pa.array(place)]
-                    arrays += [pa.array(low.astype("int16")), pa.array(high.astype("int16")), pa.array(gram.view("int64")), pa.array(span.view("int64")), pa.array(who)]
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+def _list(columns: str):
+    """Anchors of each text, of these columns. `who` tells what a string must differ in to be another one: the place, or
+    the row."""
+    names = [x.split()[0] for x in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                batch = whole.slice(at, ROWS)
+                raws = [t.as_py().encode() for t in batch.column("text")]
+                rows = batch.column("row").to_numpy()
+                for kind, texts in ((BYTES, [np.frombuffer(r, "uint8") for r in raws]), (WORDS, words_of(raws)[2])):
+                    for parts in parted(texts, SCALES[kind].length):
+                        text, place, low, high, gram, span = anchors(parts, kind)
+                        who = paired(rows[text].astype("uint64"), place.astype("uint64")).view("int64") if kind == BYTES else rows[text]
+                        made = {"kind": np.full(len(text), kind, "int8"), "place": place, "low": low.astype("int16"), "high": high.astype("int16"), "gram": gram.view("int64"), "span": span.view("int64"), "who": who}
+                        yield pa.RecordBatch.from_arrays([pa.array(made[c]) if c in made else batch.column(c).take(pa.array(text)) for c in names], names)
+
+    return run
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +266,14 @@ def _shared(rows: DataFrame, key: list[str], *more: Column) -> DataFrame:
     return settle(rows.groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *more).where("lo <> hi"))
 
 
-def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _settled(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Of blocks (settled): (suffix, first, last) of those that are repeated throughout, and (suffix, block, lo, hi) of
-    those that go on: open ones, and a witness of each settled bucket that shares its common string with one."""
+    those that go on: open ones, and a witness of each settled bucket that shares its common string with one. Blocks of
+    one start, the last, have one string and are settled or gone."""
     common, span = ["gram", "block", "common"], ["gram", "block", "common", "span"]
     alive = settle(rows.join(_shared(rows, common).select(*common), common, "left_semi"))
+    if last:
+        return alive.select("suffix", "first", "last"), None
     twice = _shared(alive.where("span is not null"), span, F.min("suffix").alias("suffix"))
     judged = settle(alive.join(twice.select(*span, F.lit(True).alias("whole")), span, "left"))
     still = judged.where("whole is null")
@@ -279,32 +286,35 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     overlap."""
     rows = _rows(df, id_col, text_col)
     long_enough = rows.where(F.octet_length("text") >= min(LENGTH, 2 * PASSAGE - 1)).withColumn("row", F.monotonically_increasing_id())
-    listed = settle(long_enough.mapInArrow(_list, LISTED).withColumns({"lo": F.col("who"), "hi": F.col("who")}).drop("who"))
-    alive = settle(listed.join(_shared(listed, ["gram"]).select("gram"), "gram", "left_semi"))
+    # Anchors are listed twice, so that those alone in their bucket are neither stored nor shuffled but for its name.
+    who = [F.min("who").alias("lo"), F.max("who").alias("hi")]
+    first = "gram long, who long"
+    grams = settle(long_enough.mapInArrow(_list(first), first).groupBy("gram").agg(*who).where("lo <> hi").select("gram"))
+    listed = settle(maybe_in(long_enough.mapInArrow(_list(LISTED), LISTED), "gram", grams, "gram", "maybe").where("maybe").drop("maybe"))
     pointer = ["gram", "span", "low", "high"]
-    twice = _shared(alive, pointer, F.min(F.struct(*ROW, "kind", "place")).alias("one"))
-    judged = settle(alive.join(twice.select(*pointer, F.lit(True).alias("whole")), pointer, "left"))
+    twice = settle(listed.groupBy(*pointer).agg(*who, F.min(F.struct(*ROW, "place")).alias("one"), F.min("kind").alias("kind")).where("lo <> hi"))
+    judged = settle(listed.join(twice.select(*pointer, F.lit(True).alias("whole")), pointer, "left"))
     length = F.when(F.col("kind") == BYTES, SCALES[BYTES].length).otherwise(SCALES[WORDS].length)
     found = judged.where("whole").select("kind", *ROW, (F.col("place") + F.col("low")).alias("begin"), (F.col("place") + F.col("high") + length).alias("end"))
 
-    still = judged.where("whole is null")
-    witness = twice.join(settle(still.select("gram").distinct()), "gram", "left_semi").select("one.*", *pointer, "lo", "hi")
+    still = judged.where("whole is null").join(grams, "gram", "left_semi").withColumns({"lo": F.col("who"), "hi": F.col("who")})
+    witness = twice.join(settle(still.select("gram").distinct()), "gram", "left_semi").select("one.*", *pointer, "kind", "lo", "hi")
     going = still.select(*ROW, *SUFFIX).unionByName(witness.select(*ROW, *SUFFIX))
     parts = settle(going.groupBy(*ROW).agg(F.collect_set(F.struct(*SUFFIX)).alias("parts")).withColumn("name", row_name()))
     texts = maybe_in(rows.withColumn("name", row_name()), "name", parts, "name", "maybe").where("maybe").select("name", "text")
     contexts = texts.join(parts, "name").select(*ROW, "text", "parts").mapInArrow(_contexts, "id long, check long, kind byte, place long, low short, high short, gram long, lo long, hi long, around binary")
     around = settle(contexts.withColumn("suffix", F.monotonically_increasing_id()))
     inner = []
-    first = lambda k: F.lit(-(-(-SCALES[k].reach // SCALES[k].blocks[0])))
-    every = F.sequence(F.when(F.col("kind") == BYTES, first(BYTES)).otherwise(first(WORDS)), F.lit(0))
+    least = [F.lit(-s.reach // s.blocks[0]) for s in SCALES]
+    every = F.sequence(F.when(F.col("kind") == BYTES, least[BYTES]).otherwise(least[WORDS]), F.lit(0))
     asked = around.withColumn("open", F.transform(every, lambda b: F.struct(b.alias("block"), F.col("lo").alias("lo"), F.col("hi").alias("hi"))))
-    for level in range(max(len(s.blocks) for s in SCALES)):
+    for level in range(LEVELS):
         made = settle(asked.select("suffix", "kind", "low", "high", "gram", "around", "open").mapInArrow(_blocks(level), "suffix long, gram long, lo long, hi long, block int, first short, last short, common long, span long"))
-        whole, opened = _settled(made)
+        whole, opened = _settled(made, level == LEVELS - 1)
         inner.append(whole)
-        # A block of one start is settled or gone, so nothing is open after the last level.
-        grouped = settle(opened.groupBy("suffix").agg(F.collect_set(F.struct("block", "lo", "hi")).alias("open")))
-        asked = around.join(grouped, "suffix")
+        if opened is not None:
+            grouped = settle(opened.groupBy("suffix").agg(F.collect_set(F.struct("block", "lo", "hi")).alias("open")))
+            asked = maybe_in(around, "suffix", grouped, "suffix", "maybe").where("maybe").drop("maybe").join(grouped, "suffix")
     names = around.select("suffix", "kind", *ROW, "place")
     for whole in inner:
         found = found.unionByName(whole.join(names, "suffix").select("kind", *ROW, (F.col("place") + F.col("first")).alias("begin"), (F.col("place") + F.col("last") + length).alias("end")))
