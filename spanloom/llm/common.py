@@ -49,7 +49,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared checkpoint folder, so that lost executors do not undo it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanloom-"))
     return df.checkpoint(eager=True)
 
 
