@@ -9,6 +9,8 @@ from spanloom.llm.common import fresh, next_power, settle
 
 #: Slots of one page of the filter: what `bitmap_construct_agg` holds in 4 KB.
 PAGE = 32_768
+#: Slots of a filter at most: 128 MB, for 67 million rows of 16 slots each.
+MAX_SLOTS = 1 << 30
 
 
 def _probes(of: Column, pages: int) -> tuple[Column, list[Column]]:
@@ -17,11 +19,12 @@ def _probes(of: Column, pages: int) -> tuple[Column, list[Column]]:
     return F.pmod(a, F.lit(pages)), [F.pmod(F.shiftrightunsigned(b, n), F.lit(PAGE)).cast("int") for n in (0, 24)]
 
 
-def repeat_filter(hashes: DataFrame, col: str, slots_per_row: int = 16, max_slots: int = 1 << 27) -> tuple[DataFrame, int]:
+def repeat_filter(hashes: DataFrame, col: str, slots_per_row: int = 16, max_slots: int = MAX_SLOTS) -> tuple[DataFrame, int]:
     """Pages (page, bits) of the slots reached at least twice, and the number of pages.
 
-    The filter takes max_slots / 8 bytes at most (16 MB), which bounds the broadcast at any size of input. Beyond
-    max_slots / slots_per_row rows it only fills up: more rows are then shuffled, and none is treated wrongly.
+    The filter takes max_slots / 8 bytes at most (128 MB), which bounds the broadcast at any size of input. Beyond
+    max_slots / slots_per_row rows it has fewer slots a row (2 at half a billion) and fills up: more rows are then
+    shuffled, and none is treated wrongly.
     """
     pages = next_power(hashes.count() * slots_per_row, PAGE, max_slots) // PAGE
     page, slots = _probes(F.col(col), pages)
@@ -45,7 +48,7 @@ def flagged(df: DataFrame, hash_col: str, filter_pages: DataFrame, pages: int, f
     return joined.withColumn(flag, hit).drop(page_col, bits_col)
 
 
-def member_filter(keys: DataFrame, col: str, slots_per_key: int = 16, max_slots: int = 1 << 27) -> tuple[DataFrame, int]:
+def member_filter(keys: DataFrame, col: str, slots_per_key: int = 16, max_slots: int = MAX_SLOTS) -> tuple[DataFrame, int]:
     """Pages of the slots that any key reaches; bounded as those of `repeat_filter`."""
     pages = next_power(keys.count() * slots_per_key, PAGE, max_slots) // PAGE
     page, slots = _probes(F.col(col), pages)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.bloom import flagged, repeat_filter
+from spanloom.llm.bloom import MAX_SLOTS, flagged, repeat_filter
 from spanloom.llm.common import fresh, settle
 
 
@@ -24,7 +24,7 @@ def digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, max_slots: int = 1 << 27) -> DataFrame:
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, max_slots: int = MAX_SLOTS) -> DataFrame:
     """One row per row of df: id, keep_id (largest id of the group), group_size, kept, text_sha256."""
     rows = settle(df.select(F.col(id_col).alias("id"), F.unhex(digest(F.col(text_col))).alias("hash")))
     bits, pages = repeat_filter(rows, "hash", slots_per_row, max_slots)
@@ -38,7 +38,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return alone.unionByName(dealt).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("hash")).alias("text_sha256"))
 
 
-def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, max_slots: int = 1 << 27) -> DataFrame:
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots_per_row: int = 16, max_slots: int = MAX_SLOTS) -> DataFrame:
     """df with one row of each group of equal texts: that with the largest id. All columns stay."""
     hash_col, flag = fresh(df, "hash", "maybe")
     hashes = settle(df.select(F.unhex(digest(F.col(text_col))).alias(hash_col)))
