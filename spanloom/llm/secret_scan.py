@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import settle
 
 SCOPE = 256
+#: Matches whose places are summed together.
+STRIDE = 1024
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are greedy, so the least length can stand in the pattern where a failing run holds no other match.
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
@@ -37,19 +39,26 @@ LEAST_ASSIGNED, LEAST_WEAK = 12, 6
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,size:bigint>>"
 
 
+def running(values: Column) -> Column:
+    """Running sums of an array, by slices of STRIDE: an array that grows by an element is copied each time, so whole
+    arrays would take quadratic time."""
+    zero = F.lit(0).cast("long")
+    none = F.array().cast("array<bigint>")
+    sums = lambda x, start: F.aggregate(x, F.struct(start.alias("at"), none.alias("out")), lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"] + v)).alias("out")), lambda s: s["out"])
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRIDE)), lambda k: F.slice(values, (k * STRIDE + 1).cast("int"), F.lit(STRIDE)))
+    ends = sums(F.transform(parts, lambda x: F.aggregate(x, zero, lambda s, v: s + v)), zero)
+    starts = F.concat(F.array(zero), ends)
+    return F.flatten(F.transform(parts, lambda x, k: sums(x, F.get(starts, k))))
+
+
 def spans(text: Column, found: Column, pattern: str, kind: str, size: Column | None = None) -> Column:
     """Spans of a pattern's matches, given what they matched: lengths of the text between them give the places."""
     number = KINDS.index(kind)
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
-    lengths = F.transform(found, lambda x: F.struct(F.length(x).cast("long").alias("n"), (F.length(x) if size is None else size(x)).cast("long").alias("size")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.from_json(F.lit("[]"), SPAN).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), (begin + x["m"]["n"]).alias("end"), x["m"]["size"].alias("size"))
-        return F.struct(span["end"].alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    placed = F.aggregate(F.zip_with(F.slice(between, F.lit(1), F.size(found)), lengths, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), start, step, lambda s: s["out"])
+    between = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda x: F.length(x).cast("long"))
+    lengths = F.transform(found, lambda x: F.length(x).cast("long"))
+    ends = running(F.zip_with(between, lengths, lambda g, n: g + n))
+    sizes = lengths if size is None else F.transform(found, lambda x: size(x).cast("long"))
+    placed = F.transform(F.arrays_zip(ends.alias("end"), lengths.alias("n"), sizes.alias("size")), lambda x: F.struct((x["end"] - x["n"]).alias("start"), F.lit(number).alias("kind"), x["end"].alias("end"), x["size"].alias("size")))
     return F.when(F.size(found) > 0, placed).otherwise(F.from_json(F.lit("[]"), SPAN))
 
 
