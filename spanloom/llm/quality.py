@@ -5,7 +5,7 @@ labelled rows, pairs of a good and a bad document are drawn; logistic loss on th
 weights, and so a score for every document. The decision threshold is the quantile of the learning rows' scores that
 parts their labels best, and a document's score is the logistic of its distance from it.
 
-At most SAMPLE labelled rows are brought to the driver, about, as vectors of some 220 numbers; pairs are drawn there.
+At most 2 x SAMPLE labelled rows are brought to the driver, about, as vectors of some 220 numbers; pairs are drawn there.
 
 Cases: null and empty texts have the zero vector's rates and get a score like any other. If the learning rows have
 one label only, or there are none, every score is 0.5. Null labels and null ids are not learned from; a null id is
@@ -102,9 +102,12 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     usable = labels.where(learns(F.col(id_col)) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     n = usable.count()
     share = min(1.0, sample / max(1, n))
-    some = settle(usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    some = settle(usable.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(share * float(1 << 63))).groupBy("id").agg(F.min("label").alias("label")))
     # The sample's size is bounded, so it is sent to the documents rather than they to it.
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    # Ids may repeat: where the sample's ids have more rows than it should, a hash sample of these rows is taken.
+    share = min(1.0, 2 * sample / max(1, documents.select(F.col(id_col).alias("id")).join(F.broadcast(some), "id").count()))
+    texts = texts.where(F.shiftrightunsigned(F.xxhash64("id", "label", "text"), 1) <= F.lit(share * float(1 << 63))).dropDuplicates(["id", "label", "text"]) if share < 1 else texts
     rows = sorted(_vectors(texts, "id", "label").collect(), key=lambda r: (r["id"], r["label"], bytes(r["vector"])))
     x = np.array([np.frombuffer(bytes(r["vector"]), "float32") for r in rows], "float64").reshape(len(rows), WIDTH)
     return fit(x, np.array([r["label"] for r in rows], "int64"))
