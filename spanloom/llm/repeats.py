@@ -176,14 +176,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], [*ROW, *SUFFIX, "around"])
 
     for batch in batches:
-        for id_, check, text, parts in zip(*(batch.column(c) for c in (*ROW, "text", "parts"))):
+        edges, fields = _flat(batch.column("parts"), len(SUFFIX))
+        for n, (id_, check, text) in enumerate(zip(*(batch.column(c) for c in (*ROW, "text")))):
             raw, name, words = text.as_py().encode(), (id_.as_py(), check.as_py()), None
-            for p in parts.as_py():
-                first, last = p["place"] + p["low"], p["place"] + p["high"] + SCALES[p["kind"]].length
-                if p["kind"] == WORDS:
+            for part in zip(*(x[edges[n] : edges[n + 1]] for x in fields)):
+                kind, place, low, high = part[:4]
+                first, last = place + low, place + high + SCALES[kind].length
+                if kind == WORDS:
                     words = word_places(np.frombuffer(raw, "uint8")) if words is None else words
                     first, last = words[0][first], words[1][last - 1]
-                out.append((*name, *(p[c] for c in SUFFIX), raw[first:last]))
+                out.append((*name, *part, raw[first:last]))
                 if len(out) >= ROWS:
                     yield made()
                     out = []
@@ -236,11 +238,12 @@ def _blocks(level: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for text, spans in zip(batch.column("text"), batch.column("spans")):
+        edges, (kinds, begins, ends) = _flat(batch.column("spans"), 3)
+        for k, text in enumerate(batch.column("text")):
             raw, kept, removed, n, at = text.as_py().encode(), hashlib.sha256(), 0, 0, 0
             runs: tuple[list, list] = ([], [])
-            for s in spans.as_py() or []:
-                runs[s["kind"]].append((s["begin"], s["end"]))
+            for kind, begin, end in zip(*(x[edges[k] : edges[k + 1]] for x in (kinds, begins, ends))):
+                runs[kind].append((begin, end))
             for begin, end in merged(runs[BYTES]):
                 kept.update(raw[at:begin])
                 removed, n, at = removed + end - begin, n + 1, end
@@ -250,6 +253,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([f[k] for f in found], t) for k, t in enumerate(types))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words"])
 
 
+def _flat(lists: pa.ListArray, fields: int) -> tuple[list[int], list[list]]:
+    """Edges of lists of structs (a null list is empty), and their fields' values in one list each."""
+    edges = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy()]).tolist()
+    flat = lists.flatten()
+    return edges, [flat.field(k).to_pylist() for k in range(fields)]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs; spans that touch are one run."""
     out: list[tuple[int, int]] = []
@@ -297,7 +307,7 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     length = F.when(F.col("kind") == BYTES, SCALES[BYTES].length).otherwise(SCALES[WORDS].length)
     found = judged.where("whole").select("kind", *ROW, (F.col("place") + F.col("low")).alias("begin"), (F.col("place") + F.col("high") + length).alias("end"))
 
-    still = judged.where("whole is null").join(grams, "gram", "left_semi").withColumns({"lo": F.col("who"), "hi": F.col("who")})
+    still = settle(judged.where("whole is null").drop("whole", "span").join(grams, "gram", "left_semi")).withColumns({"lo": F.col("who"), "hi": F.col("who")})
     witness = twice.join(settle(still.select("gram").distinct()), "gram", "left_semi").select("one.*", *pointer, "kind", "lo", "hi")
     going = still.select(*ROW, *SUFFIX).unionByName(witness.select(*ROW, *SUFFIX))
     parts = settle(going.groupBy(*ROW).agg(F.collect_set(F.struct(*SUFFIX)).alias("parts")).withColumn("name", row_name()))
