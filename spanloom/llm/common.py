@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
@@ -45,17 +46,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the shared checkpoint folder, so that lost executors do not undo it."""
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanloom-"))
+    return context.getCheckpointDir()  # a folder of this session's in the one named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Computes df once and keeps it in the shared checkpoint folder, so that lost executors do not undo it."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As `settle`, but by a written table, for loops: a checkpoint hands on its plan's estimated size, and where settled
+    tables are joined in each round, the digits of that number double until planning takes all the time."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows that it has at most so many rows. df must be settled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

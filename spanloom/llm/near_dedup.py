@@ -7,9 +7,10 @@ joint likelihood estimates similarity. Estimates clearly under the threshold go;
 full sets are then compared exactly, and only confirmed links join documents.
 
 Neither step emits pairs. In a bucket or family, a breadth-first search compares a node only with those that no link
-has reached yet, and gives a star for each component found. Large buckets and families are dealt as pairs of blocks,
-each a group of its own, so that none gathers in a task. A link of similarity 0.8 misses all bands with a probability
-of 5e-8, and is estimated below the margin with about 1e-6.
+has reached yet, and gives a star for each component found. Large buckets and families are dealt as blocks, so that
+none gathers in a task: blocks are compared within, then by representatives, and only what that does not join meets
+all blocks (see `compared`). A link of similarity 0.8 misses all bands with a probability of 5e-8, and is estimated
+below the margin with about 1e-6.
 
 Cases: null and empty texts, and those of white space, have an empty set: no links, and a component of their own.
 Fewer words than a shingle are one shingle. Rows of equal sets share a component. Null ids take part; a component's
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.bloom import maybe_in
-from spanloom.llm.common import fresh, let_go, settle
+from spanloom.llm.common import fresh, let_go, settle, stored
 from spanloom.llm.shingles import mixed, shingles
 
 REGISTERS, ROWS = 128, 4
@@ -120,43 +121,80 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TOGETHER)
 
 
-def blocked(df: DataFrame, key: str, node: str, blocks: Column) -> DataFrame:
-    """df with `part`: the groups that a row belongs to. Rows of a key with n blocks go to the n groups of pairs of
-    blocks that hold their own; any two rows of a key share a group."""
-    own = F.pmod(F.xxhash64(node, F.lit(3)), F.col("blocks")).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("a"), F.greatest(b, F.col("own")).alias("b"))))
-    dealt = df.withColumn("blocks", blocks.cast("int")).withColumn("own", own).withColumn("pair", pair)
-    # With two blocks or more, a block's inner pairs are compared where it meets any other; it needs no group alone.
-    dealt = dealt.where((F.col("blocks") == 1) | (F.col("pair.a") != F.col("pair.b")))
-    return dealt.withColumn("part", F.xxhash64(key, F.lit(9), "pair.a", "pair.b")).drop("blocks", "own", "pair")
+EDGES = "part long, a binary, b binary"
+
+
+def compared(rows_of: Callable[[DataFrame], DataFrame], groups: DataFrame, key: str, cols: list[str], compare: Callable) -> DataFrame:
+    """Edges (a, b) that join all rows of a key which `compare` links, in groups of bounded size. groups: key, blocks (how
+    many its rows make), rate (blocks a row); settled. rows_of gives the rows (node, cols) of some of the groups.
+
+    A key of one block is one group. Of a larger one, blocks are compared within first, then a representative of each
+    component found; this takes rows in proportion to the key's. Where that leaves a key in several components, all
+    rows outside the largest one meet every block, so that no link is lost.
+    """
+    run = lambda df: by_part(df, *cols).mapInArrow(compare, EDGES)
+    alone = run(rows_of(groups.where("blocks = 1")).withColumn("part", F.xxhash64(key))).drop("part")
+    large = settle(groups.where("blocks > 1"))
+    if not large.limit(1).count():
+        return alone
+    dealt = lambda n, more: F.pmod(F.xxhash64("node", F.lit(more)), n).cast("int")
+    rows = settle(rows_of(large).withColumn("part", F.xxhash64(key, dealt(F.col("blocks"), 3))))
+    within = settle(run(rows))
+    # A block is one group, so its stars are its components.
+    first = rows.select("part", key, "node").join(within.select("part", F.col("b").alias("node"), F.col("a").alias("center")), ["part", "node"], "left")
+    first = settle(first.select(key, "node", F.coalesce("center", "node").alias("center")))
+    ones = settle(first.where("node = center").select(key, "node"))
+    many = settle(ones.groupBy(key).agg(F.count("*").alias("ones")).where("ones > 1"))
+    met = rows.join(settle(ones.join(many, key)), [key, "node"])
+    n = F.greatest(F.lit(1), F.ceil(F.col("ones") * F.col("rate"))).cast("int")
+    pairs = F.when(n == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(_pairs(dealt(n, 4), F.sequence(F.lit(0), n - 1)))
+    among = settle(run(met.withColumn("pair", F.explode(pairs)).withColumn("part", F.xxhash64(key, "pair"))))
+    known = within.unionByName(among).drop("part")
+    joined = components(among.drop("part")).select(F.col("node").alias("center"), F.col("root").alias("joined"))
+    second = settle(first.join(joined, "center", "left").select(key, "node", F.coalesce("joined", "center").alias("center")))
+    sizes = settle(second.groupBy(key, "center").agg(F.count("*").alias("n")))
+    most = settle(sizes.groupBy(key).agg(F.max(F.struct("n", "center")).alias("top"), F.sum("n").alias("all")).where("all > top.n"))
+    met = rows.join(settle(second.join(most, key).select(key, "node", (F.col("center") == F.col("top.center")).alias("inner"), F.col("top.n").alias("largest"), (F.col("all") - F.col("top.n")).alias("others"))), [key, "node"])
+    inside, outside = (F.ceil(F.col(c) * F.col("rate")).cast("int") for c in ("largest", "others"))
+    own = F.when(F.col("inner"), dealt(inside, 5)).otherwise(inside + dealt(outside, 5))
+    pairs = _pairs(own, F.when(F.col("inner"), F.sequence(inside, inside + outside - 1)).otherwise(F.sequence(F.lit(0), inside + outside - 1)))
+    cross = run(met.withColumn("pair", F.explode(pairs)).withColumn("part", F.xxhash64(key, "pair"))).drop("part")
+    return alone.unionByName(known).unionByName(cross)
+
+
+def _pairs(own: Column, others: Column) -> Column:
+    """The pairs of a row's block and other ones."""
+    return F.transform(F.filter(others, lambda b: b != own), lambda b: F.struct(F.least(b, own).alias("a"), F.greatest(b, own).alias("b")))
 
 
 def by_part(df: DataFrame, *cols: str) -> DataFrame:
     return df.select("part", *cols).repartition("part").sortWithinPartitions("part")
 
 
-def _edges(pairs: list[tuple[int, int]], nodes: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+def _edges(part: int, pairs: list[tuple[int, int]], nodes: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array([part] * len(pairs), pa.int64()), *(pa.array([nodes[p[k]] for p in pairs], pa.binary()) for k in (0, 1))]
+    return pa.RecordBatch.from_arrays(columns, ["part", "a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node in edges (a, b): by the stars of larger neighbours and of smaller ones, in turn."""
-    links = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     size = links.count()
     while size:
         both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
+        # Both sides of each join are settled, so that adaptive joins can split a node with many neighbours.
+        least = stored(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m")))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = stored(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*").where("v <> u").distinct()
-        new = settle(small)
+        new = stored(small)
         count = new.count()
         done = count == size and not new.join(links, ["v", "u"], "left_anti").limit(1).count()
         links, size = new, count
         if done:
             break
     roots = links.select(F.col("v").alias("node"), F.col("u").alias("root"))
-    return settle(roots.unionByName(links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()))
+    return stored(roots.unionByName(links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()))
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -189,32 +227,33 @@ def families(nodes: DataFrame, threshold: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple[int, bytes, bytes]] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["part", "a", "b"])
+
         for group in groups(batches, "part"):
-            names, sizes = group.column("node").to_pylist(), group.column("n").to_numpy()
+            part, names, sizes = group.column("part")[0].as_py(), group.column("node").to_pylist(), group.column("n").to_numpy()
             registers = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
             for a, b in stars(len(names), lambda x, left: estimate(registers[x], registers[left], sizes[x], sizes[left]) >= margin):  # noqa: B023
-                found.append((names[a], names[b]))
+                found.append((part, names[a], names[b]))
             if len(found) > 10_000:
-                yield _edges([(2 * k, 2 * k + 1) for k in range(len(found))], [x for p in found for x in p])
+                yield made()
                 found = []
-        yield _edges([(2 * k, 2 * k + 1) for k in range(len(found))], [x for p in found for x in p])
+        yield made()
 
     banded = settle(nodes.select("node", "registers").mapInArrow(band, "band long, node binary"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    met = banded.join(shared, "band").join(nodes, "node")
-    parts = blocked(met, "band", "node", F.ceil(F.col("members") / BLOCK_NODES))
-    return by_part(parts, "node", "n", "registers").mapInArrow(compare, "a binary, b binary")
+    sized = settle(shared.select("band", F.ceil(F.col("members") / BLOCK_NODES).alias("blocks"), F.lit(1 / BLOCK_NODES).alias("rate")))
+    return compared(lambda some: banded.join(some, "band").join(nodes, "node"), sized, "band", ["node", "n", "registers"], compare)
 
 
 def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Edges (a, b) that join all members whose full sets are linked. members: name (of a row), node, n, root; settled."""
     sums = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-    placed = members.join(sums, "root")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.least(F.col("members"), F.ceil(F.col("total") / BLOCK_SHINGLES)))
+    sized = settle(sums.select("root", blocks.cast("long").alias("blocks"), (blocks / F.col("members")).alias("rate")))
     named = df.select(row_name(F.col(id_col)).alias("name"), F.col(text_col).alias("text"))
-    # Texts of no member stay where they are, but for what the filter's bounded size lets through.
-    texts = maybe_in(named, "name", members, "name", "maybe").where("maybe").join(placed, "name")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -222,8 +261,8 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
             own = [shingles(t.as_py(), width) for t in batch.column("text")]
             # Of several rows with a name, those of another set are not the member meant.
             same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == node.as_py() for x, node in zip(own, batch.column("node"))]
-            cols = [batch.column(c) for c in ("root", "node", "members", "total")] + [pa.array([x.tobytes() for x in own], pa.large_binary()).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["root", "node", "members", "total", "hashes"]).filter(pa.array(same))
+            cols = [batch.column(c) for c in ("root", "node", "blocks", "rate")] + [pa.array([x.tobytes() for x in own], pa.large_binary()).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["root", "node", "blocks", "rate", "hashes"]).filter(pa.array(same))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -231,11 +270,15 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
             names = group.column("node").to_pylist()
             own = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
             if len(own) > 1:
-                yield _edges(exact_stars(own, percent), names)
+                yield _edges(group.column("part")[0].as_py(), exact_stars(own, percent), names)
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        placed = settle(members.join(some, "root"))
+        # Texts of no member stay where they are, but for what the filter's bounded size lets through.
+        texts = maybe_in(named, "name", placed, "name", "maybe").where("maybe").join(placed, "name")
+        return texts.mapInArrow(sets, "root binary, node binary, blocks long, rate double, hashes binary")
 
-    made = texts.mapInArrow(sets, "root binary, node binary, members long, total long, hashes binary")
-    parts = blocked(made, "root", "node", blocks)
-    return by_part(parts, "node", "hashes").mapInArrow(compare, "a binary, b binary")
+    return compared(rows_of, sized, "root", ["node", "hashes"], compare)
 
 
 def exact_stars(own: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

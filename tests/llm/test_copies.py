@@ -150,6 +150,31 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert Counter(tuple(r) for r in near_dedup.near_duplicates(df, width=4).collect()) == brute_near(rows)
 
 
+def test_large_groups_take_rows_in_proportion(spark, monkeypatch):
+    """One bucket of a template's copies, far more than a block holds, with some rows that are linked to few others."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    template = [word() for _ in range(120)]
+    rows = []
+    for i in range(240):
+        own = list(template)
+        own[draw.randrange(120)] = f"w{i}"
+        rows.append((i, " ".join(own)))
+    for i in range(240, 260):  # about as near as a margin lets through, not linked
+        own = list(template)
+        for k in range(0, 120, 24):
+            own[(k + i) % 120] = f"v{i}.{k}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 24)
+    seen = []
+    inner = near_dedup.by_part
+    monkeypatch.setattr(near_dedup, "by_part", lambda df, *cols: seen.append(df.count()) or inner(df, *cols))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(tuple(r) for r in near_dedup.near_duplicates(df, width=4).collect()) == brute_near(rows)
+    confirming = seen[len(seen) // 2 :]
+    assert max(confirming) < 3 * len(rows)  # pairs of all blocks would be 10 rows for each
+
+
 def test_estimates_follow_similarity():
     draw = np.random.default_rng(3)
     for both, own, other in ((800, 100, 100), (500, 250, 250), (450, 50, 500), (60, 8, 7)):
