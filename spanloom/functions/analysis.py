@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -90,3 +91,28 @@ def offsets(text: pa.Array) -> pa.Array:
     end = pa.array([s + len(t) for s, t in zip(starts, terms)], pa.int32())
     rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(places, pa.int32()), begin, end], ["term", "pos", "start", "end"])
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])))
+def inverted(tokens: pa.Array) -> pa.Array:
+    """A document's terms with their frequency and positions, in order of first occurrence. All of a document's tokens
+    are in its row, so postings need no shuffle to be made."""
+    terms: list[str] = []
+    counts: list[int] = []
+    places: list[int] = []
+    edges = [0]
+    for own in tokens.to_pylist():
+        at: dict[str, list[int]] = {}
+        for k, term in enumerate(own or ()):
+            if term in at:
+                at[term].append(k)
+            else:
+                at[term] = [k]
+        terms += at
+        for held in at.values():
+            counts.append(len(held))
+            places += held
+        edges.append(len(terms))
+    positions = pa.ListArray.from_arrays(pa.array(list(accumulate(counts, initial=0)), pa.int32()), pa.array(places, pa.int32()))
+    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32()), positions], ["term", "tf", "positions"])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,6 +60,13 @@ def ordinals(values: DataFrame, col: str) -> DataFrame:
     return local.join(F.broadcast(starts), "__part").select("value", (F.col("__start") + F.col("__local")).cast("long").alias("ord"))
 
 
+def ordinal_map(segments: Mapping[str, DataFrame], col: str) -> DataFrame:
+    """segment, local_ord, value, ord: each segment's own ordinals, and those over all segments."""
+    own = [ordinals(df, col).select(F.lit(name).alias("segment"), F.col("ord").alias("local_ord"), "value") for name, df in segments.items()]
+    each = reduce(DataFrame.unionByName, own)
+    return each.join(ordinals(reduce(DataFrame.unionByName, [df.select(col) for df in segments.values()]), col), "value")
+
+
 def lookup_ordinal(numbered: DataFrame, n: int) -> DataFrame:
     return numbered.where(F.col("ord") == n)
 

@@ -10,6 +10,7 @@ import math
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -122,15 +123,15 @@ def best_window(found: Sequence[Match], size: int, margin: int = MARGIN) -> list
     least = _check(size, margin)
     if not found:
         return []
-    room, best, chosen = max(size - margin, least), found[0].boost, (0, 0)
+    # For each last match of a run, the longest run that fits weighs most. A run of one is taken at the start only.
+    room, chosen = max(size - margin, least), (0, 0)
+    upto = [0.0, *accumulate(m.boost for m in found)]
+    first, best = 0, upto[1]
     for last in range(1, len(found)):
-        total = found[last].boost
-        for first in range(last - 1, -1, -1):
-            total += found[first].boost
-            if found[last].end - found[first].start > room:
-                break
-            if total > best:
-                best, chosen = total, (first, last)
+        while found[last].end - found[first].start > room and first < last:
+            first += 1
+        if first < last and (total := upto[last + 1] - upto[first]) > best + 1e-12 * abs(best):
+            best, chosen = total, (first, last)
     own = list(found[chosen[0] : chosen[1] + 1])
     start, end = own[0].start, own[-1].end
     if end - start < size:

@@ -7,7 +7,6 @@ new one. A delete or an update reaches documents added before it only.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from spanloom.plans.query import Query, Term, boolean
 from spanloom.schema import FieldSpec
 from spanloom.sources.index import Searcher, TableIndex
+from spanloom.sources.snapshots import current, exists, publish, read, vacuum
 
 FieldTerm = tuple[str, str]
 
@@ -52,8 +52,8 @@ def latest(changes: DataFrame, key: str, seq: str = "seq_no") -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*changes.columns), F.col(seq)).alias("__row")).select("__row.*")
 
 
-def update_numeric(index: TableIndex, query: Query, column: str, value: Column | float, index_sort: Sequence[str] = ()) -> DataFrame:
-    """Documents with a numeric column set where the query matches."""
+def update_numeric(index: TableIndex, query: Query, column: str, value: Column | float | bytes | str, index_sort: Sequence[str] = ()) -> DataFrame:
+    """Documents with a column of numbers, or of binary values, set where the query matches."""
     if column in index_sort:
         raise ValueError(f"{column!r} is part of the index sort")
     frame = index.frame(query, Searcher(index).similarity, scoring=False)
@@ -214,53 +214,6 @@ class IndexWriter:
         return {"num_docs": 0 if docs is None else docs.count(), "version": self.version}
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, p = _files(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a snapshot was published."""
-    return bool(_versions(spark, path))
-
-
-def current(spark: SparkSession, path: str) -> int:
-    """The version of the newest snapshot."""
-    return _versions(spark, path)[-1]
-
-
-def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    return spark.read.parquet(f"{path}/snapshot-{version or current(spark, path)}")
-
-
-def publish(spark: SparkSession, path: str, version: int) -> None:
-    """Makes a written snapshot the newest: a file is made aside and moved, which is atomic."""
-    fs, aside = _files(spark, f"{path}/.{uuid.uuid4().hex}")
-    fs.create(aside).close()
-    if not fs.rename(aside, _files(spark, f"{path}/current-{version}")[1]):
-        fs.delete(aside, False)
-        raise FileExistsError(f"version {version} of {path} was published by another writer")
-
-
-def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
-    """Removes all snapshots but the newest `keep`; returns their versions."""
-    old = _versions(spark, path)[: -max(1, keep)]
-    for v in old:
-        for name in (f"{path}/current-{v}", f"{path}/snapshot-{v}"):
-            fs, p = _files(spark, name)
-            fs.delete(p, True)
-    return old
-
-
 def apply_log(changes: Iterable[tuple[str, object]], writer: IndexWriter) -> list[int]:
     """Feeds a log of (operation, argument) to a writer: add, update, delete_terms, delete_query, numeric."""
     calls = {

@@ -80,6 +80,10 @@ class Query:
         """Whether documents without any leaf's term cannot match."""
         return False
 
+    def needed(self) -> Sequence[Query]:
+        """Nodes that every match satisfies: what a scan may filter by before it looks at texts."""
+        return (self,)
+
 
 class Constant(Query):
     """Matches without relevance: the score is 0, or the boost around it."""
@@ -136,6 +140,9 @@ class ConstantScore(Query):
     def only_with_terms(self) -> bool:
         return self.query.only_with_terms()
 
+    def needed(self) -> Sequence[Query]:
+        return self.query.needed()
+
     def __str__(self) -> str:
         return f"ConstantScoreQuery(sub_query: {self.query}, weight: {_number(self.boost)})"
 
@@ -172,6 +179,9 @@ class Boolean(Query):
         required = (*self.musts, *self.filters)
         return any(q.only_with_terms() for q in required) if required else all(q.only_with_terms() for q in self.shoulds)
 
+    def needed(self) -> Sequence[Query]:
+        return [n for q in (*self.musts, *self.filters) for n in q.needed()]
+
     def __str__(self) -> str:
         parts = (", ".join(map(str, qs)) for qs in (self.musts, self.shoulds, self.filters, self.must_nots))
         return "BooleanQuery(must: [{}], should: [{}], filters: [{}], must_not: [{}], match: {})".format(*parts, self.min_should_match)
@@ -207,6 +217,9 @@ class Boost(Query):
     def only_with_terms(self) -> bool:
         return self.query.only_with_terms()
 
+    def needed(self) -> Sequence[Query]:
+        return self.query.needed()
+
     def __str__(self) -> str:
         return f"BoostQuery(query: {self.query}, boost: {_number(self.boost)})"
 
@@ -240,6 +253,9 @@ class Boosting(Query):
     def only_with_terms(self) -> bool:
         return self.positive.only_with_terms()
 
+    def needed(self) -> Sequence[Query]:
+        return self.positive.needed()
+
     def __str__(self) -> str:
         return f"BoostingQuery(positive: {self.positive}, negative: {self.negative}, negative_boost: {_number(self.negative_boost)})"
 
@@ -355,6 +371,9 @@ class Filter(Query):
     def only_with_terms(self) -> bool:
         return self.query.only_with_terms()
 
+    def needed(self) -> Sequence[Query]:
+        return self.query.needed()
+
     def __str__(self) -> str:
         return f"FilterQuery(query: {self.query}, filter: {', '.join(getattr(p, '__name__', str(p)) for p in self.predicates)})"
 
@@ -421,9 +440,13 @@ class SpanQuery(Query):
         """The spans in a document, from its leaves' positions."""
         raise NotImplementedError
 
+    def closed(self, context: Context) -> Column | None:
+        """The frequency as a column expression, where there is one."""
+        return None
+
     def compile(self, context: Context, boost: float = 1.0) -> Pair:
-        leaves = self.leaves()
-        freq = context.bind(spans.on_positions([context.positions(x) for x in leaves], lambda lists: spans.freq(self.spans(dict(zip(leaves, lists)))), False))
+        leaves, closed = self.leaves(), self.closed(context)
+        freq = context.bind(closed if closed is not None else spans.on_positions([context.positions(x) for x in leaves], lambda lists: spans.freq(self.spans(dict(zip(leaves, lists)))), False))
         return _scored(freq > 0, context.relevance(freq, self.span_terms(), boost * self.factor()))
 
     def only_with_terms(self) -> bool:
@@ -441,6 +464,9 @@ class SpanTerm(SpanQuery):
     def span_terms(self) -> list[Leaf]:
         return [(self.field, self.term)]
 
+    def closed(self, context: Context) -> Column:
+        return spans.count_of([context.positions(x) for x in self.span_terms()])
+
     def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
         return spans.of_positions(positions[self.field, self.term])
 
@@ -468,6 +494,15 @@ class SpanGap(SpanQuery):
         return f"SpanGapQuery(field: {self.field}, width: {self.width})"
 
 
+def _union(clause: SpanQuery) -> list[Leaf] | None:
+    """The terms that a clause is a union of; None for other clauses."""
+    if isinstance(clause, SpanTerm):
+        return clause.span_terms()
+    if isinstance(clause, SpanOr) and all(isinstance(c, SpanTerm) for c in clause.clauses):
+        return clause.span_terms()
+    return None
+
+
 def _one_field(clauses: Sequence[SpanQuery]) -> str:
     names = {c.field_name() for c in clauses}
     if len(names) != 1:
@@ -495,6 +530,22 @@ class SpanNear(SpanQuery):
     def field_name(self) -> str:
         return _one_field(self.clauses)
 
+    def closed(self, context: Context) -> Column | None:
+        unions, gaps, free = [], [], 0
+        for c in self.clauses:
+            if isinstance(c, SpanGap):
+                free += c.width
+                continue
+            if (terms := _union(c)) is None:
+                return None
+            unions.append(terms)
+            gaps.append(free)
+            free = 0
+        places = [[context.positions(x) for x in u] for u in unions]
+        if self.in_order:
+            return None if free else spans.ordered_freq(places, gaps, self.slop)
+        return spans.unordered_freq(places, self.slop) if len(unions) == 2 and not set(unions[0]) & set(unions[1]) else None
+
     def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
         if self.in_order:
             return spans.ordered([c.width if isinstance(c, SpanGap) else c.spans(positions) for c in self.clauses], self.slop)
@@ -543,6 +594,10 @@ class SpanOr(SpanQuery):
     def field_name(self) -> str:
         return _one_field(self.clauses)
 
+    def closed(self, context: Context) -> Column | None:
+        terms = _union(self)
+        return None if terms is None else spans.count_of([context.positions(x) for x in terms])
+
     def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
         return spans.either([c.spans(positions) for c in self.clauses])
 
@@ -566,6 +621,9 @@ class SpanBoost(SpanQuery):
     def factor(self) -> float:
         return self.boost * self.query.factor()
 
+    def closed(self, context: Context) -> Column | None:
+        return self.query.closed(context)
+
     def spans(self, positions: dict[Leaf, Any]) -> spans.Spans:
         return self.query.spans(positions)
 

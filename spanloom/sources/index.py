@@ -2,21 +2,25 @@
 
 `TableIndex` evaluates a query on each document's own tokens: one pass for statistics, one for scores, no shuffle.
 `StoredIndex` keeps postings sorted by field and term, so that a query reads the row groups of its terms, groups them
-by document once, and never tokenizes. Both hand the query tree the same frame: one row per document, leaf columns.
+by document once, and never tokenizes; it takes additions, deletions and merges. Both hand the query tree the same frame: one row per document, leaf columns.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import cached_property, reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.functions import analysis
 from spanloom.functions.similarity import BM25, FieldStats, Similarity, TermStats
-from spanloom.plans.query import Leaf, Query
+from spanloom.plans.query import ConstantScore, Exists, Leaf, MatchAll, PointRange, Query, SpanQuery, Term
+from spanloom.plans.spans import rows_on_positions
+from spanloom.sources import snapshots
 from spanloom.schema import FieldSpec, IndexOptions, IndexSchema, text
 
 
@@ -76,16 +80,18 @@ class TableIndex:
         self.schema = IndexSchema(tuple(text(f) if isinstance(f, str) else f for f in fields))
         self.schema.check(docs.schema)
         self.specs = {f.name: f for f in self.schema.fields}
+        self._known_fields: dict[str, FieldStats] = {}
+        self._known_terms: dict[Leaf, TermStats] = {}
 
     def _tokens(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
         return once(df, **{f"__t_{n}": tokens(self.specs[n], self.docs.schema[n].dataType) for n in names})
 
-    def _leaf_frame(self, leaves: list[Leaf], positional: set[Leaf]) -> DataFrame:
+    def _leaf_frame(self, leaves: list[Leaf], positional: set[Leaf], docs: DataFrame | None = None) -> DataFrame:
         for name, _ in positional:
             if self.specs[name].index_options < IndexOptions.POSITIONS:
                 raise ValueError(f"field {name!r} has no positions")
         names = list(dict.fromkeys(f for f, _ in leaves))
-        df, found_in = self._tokens(self.docs, names), {}
+        df, found_in = self._tokens(self.docs if docs is None else docs, names), {}
         for n in names:
             own = [t for f, t in leaves if f == n]
             if any(f == n for f, _ in positional):
@@ -105,8 +111,15 @@ class TableIndex:
         return (df.withColumns(made) if made else df).drop(*[f"__h_{n}" for n in names])
 
     def statistics(self, leaves: Sequence[Leaf]) -> tuple[dict[str, FieldStats], dict[Leaf, TermStats]]:
-        """Of the leaves' fields and of the leaves, over all documents: one row comes to the driver."""
-        leaves = list(leaves)
+        """Of the leaves' fields and of the leaves, over all documents: one row comes to the driver. What is known of a
+        leaf is not asked again, as documents do not change."""
+        new = [x for x in dict.fromkeys(leaves) if x not in self._known_terms]
+        fields, terms = self._counted(new)
+        self._known_fields |= fields
+        self._known_terms |= terms
+        return {f: self._known_fields[f] for f, _ in leaves}, {x: self._known_terms[x] for x in leaves}
+
+    def _counted(self, leaves: list[Leaf]) -> tuple[dict[str, FieldStats], dict[Leaf, TermStats]]:
         names = list(dict.fromkeys(f for f, _ in leaves))
         if not leaves:
             return {}, {}
@@ -119,19 +132,36 @@ class TableIndex:
         row = df.agg(*aggs).first()
         return {n: FieldStats(row["n"], row[f"d{k}"], row[f"s{k}"]) for k, n in enumerate(names)}, {x: TermStats(row[f"df{k}"], row[f"tf{k}"]) for k, x in enumerate(leaves)}
 
-    def frame(self, query: Query, similarity: Similarity, scoring: bool = True) -> Frame:
+    def frame(self, query: Query, similarity: Similarity, scoring: bool = True, docs: DataFrame | None = None) -> Frame:
+        """The query's context on the documents, or on some of them; statistics are those of all."""
         leaves, positional = query.leaves(), set(query.positional_leaves())
         fields, terms = self.statistics(leaves) if scoring else ({}, {})
-        return Frame(self._leaf_frame(leaves, positional), self.docs.schema, leaves, positional, similarity, fields, terms, self.specs)
+        return Frame(self._leaf_frame(leaves, positional, docs), self.docs.schema, leaves, positional, similarity, fields, terms, self.specs)
+
+    def term_counts(self, names: Sequence[str] | None = None) -> DataFrame:
+        """field, term, df, ttf: summed by task before they are shuffled, without positions."""
+        names = list(names or [f.name for f in self.schema.fields if f.index_options])
+        parts = []
+        for n in names:
+            each = F.concat(F.transform(f"__t_{n}", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("ttf"))), F.transform(F.array_distinct(f"__t_{n}"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("ttf"))))
+            parts.append(self._tokens(self.docs, [n]).select(F.lit(n).alias("field"), F.inline(each)))
+        return reduce(DataFrame.unionByName, parts).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
 
     def postings(self, names: Sequence[str] | None = None) -> DataFrame:
-        """field, term, doc_id, tf, positions, len: the inverted index of the named fields."""
+        """field, term, doc_id, tf, positions, len: the inverted index of the named fields, made row by row."""
+        return self.inversion(names).drop("first")
+
+    def inversion(self, names: Sequence[str] | None = None) -> DataFrame:
+        """postings, and `first`: whether a row is its document's first of the field."""
         names = list(names or [f.name for f in self.schema.fields if f.index_options])
         parts = []
         for n in names:
-            one = self._tokens(self.docs, [n]).select(F.lit(n).alias("field"), F.col(self.id_col).alias("doc_id"), F.size(f"__t_{n}").alias("len"), F.posexplode(f"__t_{n}").alias("pos", "term"))
-            parts.append(one.groupBy("field", "term", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")))
-        return reduce(DataFrame.unionByName, parts).select("field", "term", "doc_id", "tf", "positions", "len")
+            kind = self.docs.schema[n].dataType
+            whole = not self.specs[n].tokenized and not isinstance(kind, T.ArrayType)
+            own = F.transform(f"__t_{n}", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.array(F.lit(0)).alias("positions"))) if whole else analysis.inverted(f"__t_{n}")
+            rows = self._tokens(self.docs, [n]).select(F.col(self.id_col).alias("doc_id"), F.size(f"__t_{n}").alias("len"), F.posexplode(own).alias("nth", "x"))
+            parts.append(rows.select(F.lit(n).alias("field"), "x.term", "doc_id", "x.tf", "x.positions", "len", (F.col("nth") == 0).alias("first")))
+        return reduce(DataFrame.unionByName, parts)
 
     def lengths(self, name: str) -> DataFrame:
         """doc_id, len of the documents with the field."""
@@ -139,49 +169,136 @@ class TableIndex:
 
 
 class StoredIndex:
-    """Documents and postings as Parquet under one path: docs, postings (by field, sorted by term), fields, terms."""
+    """Segments of documents and postings as Parquet under one path, and the ids deleted from each.
 
-    def __init__(self, spark: SparkSession, path: str, id_col: str, schema: IndexSchema) -> None:
+    A segment has docs, postings (by field, sorted by term), lengths and terms. A version names the segments it consists
+    of, and for each the folders of ids that are deleted from it: an addition writes a segment, a deletion writes ids,
+    neither touches what is there, and merging makes one segment of the live rows of all, from their postings. Versions
+    are published by a file each, so readers see all of a change or nothing. Ids are unique among live documents.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, id_col: str, schema: IndexSchema, version: int | None = None) -> None:
         self.spark, self.path, self.id_col, self.schema = spark, path, id_col, schema
         self.specs = {f.name: f for f in schema.fields}
+        self.version = snapshots.current(spark, path) if version is None else version
+        rows = spark.read.schema("segment string, deletes array<string>").parquet(f"{path}/version-{self.version}").collect()  # a row per segment
+        self.segments: dict[str, list[str]] = {r["segment"]: list(r["deletes"]) for r in sorted(rows, key=lambda r: r["segment"])}
 
     @classmethod
     def write(cls, source: TableIndex, path: str, partitions: int | None = None) -> StoredIndex:
-        """Builds postings and their statistics. Ranges go by (field, term, id), so a common term spreads."""
+        """A new index at the path, of the source's documents."""
         spark = source.docs.sparkSession
-        source.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        kept = TableIndex(spark.read.parquet(f"{path}/docs"), source.id_col, source.schema.fields)
-        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        kept.postings().repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-        postings = spark.read.parquet(f"{path}/postings")
+        return cls._publish(spark, path, source.id_col, source.schema, {cls._segment(source, path, partitions): []})
+
+    @classmethod
+    def _publish(cls, spark: SparkSession, path: str, id_col: str, schema: IndexSchema, segments: dict[str, list[str]]) -> StoredIndex:
+        version = snapshots.current(spark, path) + 1 if snapshots.exists(spark, path) else 1
+        spark.createDataFrame(list(segments.items()), "segment string, deletes array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/version-{version}")
+        snapshots.publish(spark, path, version)
+        return cls(spark, path, id_col, schema, version)
+
+    @staticmethod
+    def _segment(source: TableIndex, path: str, partitions: int | None = None) -> str:
+        """Writes documents and their postings: one pass over the texts, one shuffle."""
+        name = f"segment-{uuid.uuid4().hex[:12]}"
+        spark = source.docs.sparkSession
+        source.docs.write.parquet(f"{path}/{name}/docs")
+        kept = TableIndex(spark.read.schema(source.docs.schema).parquet(f"{path}/{name}/docs"), source.id_col, source.schema.fields)
+        postings = kept.inversion().persist(StorageLevel.DISK_ONLY)
+        postings.where("first").select("field", "doc_id", "len").write.parquet(f"{path}/{name}/lengths")
+        StoredIndex._write_postings(postings.drop("first"), f"{path}/{name}", partitions)
+        postings.unpersist()
+        return name
+
+    @staticmethod
+    def _write_postings(postings: DataFrame, path: str, partitions: int | None) -> None:
+        """Ranges go by (field, term, id), so a common term spreads. postings are kept, as they are read twice."""
+        n = partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/postings")
         terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-        terms.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/terms")
-        total = kept.docs.count()
-        lengths = [kept.lengths(f.name).agg(F.lit(f.name).alias("field"), F.lit(total).alias("max_doc"), F.count("*").alias("doc_count"), F.coalesce(F.sum("len"), F.lit(0)).alias("sum_ttf")) for f in source.schema.fields if f.index_options]
-        reduce(DataFrame.unionByName, lengths).write.mode("overwrite").parquet(f"{path}/fields")
-        return cls(spark, path, source.id_col, source.schema)
+        terms.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
+
+    def append(self, docs: DataFrame, partitions: int | None = None) -> StoredIndex:
+        """The index with more documents, in a segment of their own."""
+        name = self._segment(TableIndex(docs.select(*self.docs.columns), self.id_col, self.schema.fields), self.path, partitions)
+        return self._publish(self.spark, self.path, self.id_col, self.schema, self.segments | {name: []})
+
+    def delete(self, *queries: Query) -> StoredIndex:
+        """The index without the documents that match: their ids are written, no document is."""
+        hits = [Searcher(self).hits(q, scoring=False).select("doc_id") for q in queries]
+        name = f"deletes-{uuid.uuid4().hex[:12]}"
+        reduce(DataFrame.unionByName, hits).distinct().write.parquet(f"{self.path}/{name}")
+        return self._publish(self.spark, self.path, self.id_col, self.schema, {s: [*d, name] for s, d in self.segments.items()})
+
+    def update(self, query: Query, docs: DataFrame) -> StoredIndex:
+        """The index without the documents that match, and with new ones."""
+        return self.delete(query).append(docs)
+
+    def merge(self, partitions: int | None = None) -> StoredIndex:
+        """The index as one segment of its live documents. Postings are merged as they are; no text is read again."""
+        name = f"segment-{uuid.uuid4().hex[:12]}"
+        self.docs.write.parquet(f"{self.path}/{name}/docs")
+        self._live("lengths").write.parquet(f"{self.path}/{name}/lengths")
+        kept = self.postings().persist(StorageLevel.DISK_ONLY)
+        self._write_postings(kept, f"{self.path}/{name}", partitions)
+        kept.unpersist()
+        return self._publish(self.spark, self.path, self.id_col, self.schema, {name: []})
+
+    def _live(self, part: str, id_col: str = "doc_id") -> DataFrame:
+        """A part of all segments, without rows of deleted documents."""
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for segment, deletes in self.segments.items():
+            groups.setdefault(tuple(deletes), []).append(f"{self.path}/{segment}/{part}")
+        parts = []
+        for deletes, paths in groups.items():
+            df = self.spark.read.parquet(*paths) if part != "postings" else reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths])
+            if deletes:
+                df = df.join(self.spark.read.parquet(*[f"{self.path}/{d}" for d in deletes]).select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
+            parts.append(df)
+        return reduce(DataFrame.unionByName, parts)
+
+    @property
+    def has_deletes(self) -> bool:
+        return any(self.segments.values())
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/docs")
+        return self._live("docs", self.id_col)
 
     def postings(self, names: Sequence[str] | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/postings").select("field", "term", "doc_id", "tf", "positions", "len")
+        df = self._live("postings").select("field", "term", "doc_id", "tf", "positions", "len")
         return df.where(F.col("field").isin(list(names))) if names else df
 
-    def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
+    def lengths(self, name: str) -> DataFrame:
+        return self._live("lengths").where(F.col("field") == name).select("doc_id", "len")
 
-    def statistics(self, leaves: Sequence[Leaf]) -> tuple[dict[str, FieldStats], dict[Leaf, TermStats]]:
-        names = {f for f, _ in leaves}
-        fields = {r["field"]: FieldStats(r["max_doc"], r["doc_count"], r["sum_ttf"]) for r in self.spark.read.parquet(f"{self.path}/fields").where(F.col("field").isin(list(names))).collect()}
-        found = {(r["field"], r["term"]): TermStats(r["df"], r["ttf"]) for r in self.terms().where(_any_of(leaves)).collect()} if leaves else {}
-        return fields, {x: found.get(x, TermStats(0, 0)) for x in leaves}
+    def term_counts(self, names: Sequence[str] | None = None) -> DataFrame:
+        """field, term, df, ttf: from the segments' dictionaries, or from postings where documents are deleted."""
+        if self.has_deletes:
+            return self.postings(names).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+        all_ = self.spark.read.parquet(*[f"{self.path}/{s}/terms" for s in self.segments])
+        out = all_ if len(self.segments) == 1 else all_.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
+        return out.where(F.col("field").isin(list(names))) if names else out
 
-    def frame(self, query: Query, similarity: Similarity, scoring: bool = True) -> Frame:
+    def statistics(self, leaves: Sequence[Leaf]) -> tuple[dict[str, FieldStats], dict[Leaf, TermStats]]:
+        """Read from lengths and dictionaries of the leaves' fields and terms alone."""
+        if not leaves:
+            return {}, {}
+        names = list(dict.fromkeys(f for f, _ in leaves))
+        sums = self._live("lengths").where(F.col("field").isin(names)).groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("total")).collect()
+        found = {r["field"]: (r["n"], r["total"]) for r in sums}
+        most = self.docs.count()
+        if self.has_deletes:
+            rows = self.postings().where(_any_of(leaves)).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+        else:
+            rows = self.term_counts().where(_any_of(leaves))
+        terms = {(r["field"], r["term"]): TermStats(r["df"], r["ttf"]) for r in rows.collect()}
+        return {f: FieldStats(most, *found.get(f, (0, 0))) for f in names}, {x: terms.get(x, TermStats(0, 0)) for x in leaves}
+
+    def frame(self, query: Query, similarity: Similarity, scoring: bool = True, docs: DataFrame | None = None) -> Frame:
         leaves, positional = query.leaves(), set(query.positional_leaves())
         fields, terms = self.statistics(leaves) if scoring else ({}, {})
-        df = self.docs
+        df = self.docs if docs is None else docs
         if leaves:
             aggs = [F.max(F.when((F.col("field") == f) & (F.col("term") == t), F.col("positions" if (f, t) in positional else "tf"))).alias(f"__{'p' if (f, t) in positional else 'f'}{k}") for k, (f, t) in enumerate(leaves)]
             aggs += [F.max(F.when(F.col("field") == n, F.col("len"))).alias(f"__l_{n}") for n in dict.fromkeys(f for f, _ in leaves)]
@@ -207,22 +324,39 @@ class Searcher:
     def __init__(self, index: TableIndex | StoredIndex, similarity: Similarity | None = None) -> None:
         self.index, self.similarity = index, similarity or BM25()
 
-    def hits(self, query: Query, *columns: str, scoring: bool = True, having: Column | None = None) -> DataFrame:
-        """doc_id, score of every match, and the named columns; `having` is a condition on the index's columns."""
-        frame = self.index.frame(query, self.similarity, scoring)
+    def narrowed(self, query: Query, within: DataFrame | None = None) -> DataFrame:
+        """Documents that may match: bare conditions on columns that every match meets go to the scan, before texts are
+        looked at. within: (doc_id) of the only ones asked for; few, and sent to the documents."""
+        index, docs = self.index, self.index.docs
+        plain = Frame(docs, docs.schema, [], set(), self.similarity, {}, {}, index.specs)
+        for node in query.needed():
+            if isinstance(node, (PointRange, Exists)):
+                docs = docs.where(node.condition(plain))
+            elif isinstance(node, Term) and node.field in docs.columns and not index.specs[node.field].tokenized and plain.kind(node.field) == "string":
+                docs = docs.where(F.col(node.field) == node.term)
+        return docs if within is None else docs.join(F.broadcast(within.select(F.col("doc_id").alias(index.id_col))), index.id_col, "left_semi")
+
+    def hits(self, query: Query, *columns: str, scoring: bool = True, having: Column | None = None, within: DataFrame | None = None) -> DataFrame:
+        """doc_id, score of every match, and the named columns; `having` is a condition on the index's columns, `within`
+        a table of few ids to look among."""
+        frame = self.index.frame(query, self.similarity, scoring, self.narrowed(query, within))
         match, score = query.compile(frame)
         df = frame.df.withColumns({"__match": match, "__score": score}).where("__match")
         out = df if having is None else df.where(having)
         return out.select(F.col(self.index.id_col).alias("doc_id"), F.col("__score").alias("score"), *columns)
 
+    def spans(self, query: SpanQuery) -> DataFrame:
+        """doc_id, start, end, width: the spans of a span query, in order within a document."""
+        frame, leaves = self.index.frame(query, self.similarity, scoring=False), query.leaves()
+        found = rows_on_positions([frame.positions(x) for x in leaves], lambda lists: query.spans(dict(zip(leaves, lists))))
+        return frame.df.select(F.col(self.index.id_col).alias("doc_id"), F.inline(found))
+
     def top(self, query: Query, k: int, *columns: str) -> DataFrame:
         """rank, doc_id, score of the k best: by score, then id."""
         return ranked(self.hits(query, *columns), k)
 
     def count(self, query: Query) -> int:
         """Number of matches; from the dictionary alone where that has it."""
-        from spanloom.plans.query import ConstantScore, MatchAll, Term
-
         while isinstance(query, ConstantScore):
             query = query.query
         if isinstance(query, MatchAll):

@@ -103,7 +103,14 @@ def test_sloppy_of_two_terms_follows_the_fold():
             if at[now] >= len(lists[now]):
                 break
             now = 1 - now
-        assert math.isclose(spans.sloppy_cursors([a, [p + 1 for p in b]], [0, 1], [], slop), want), (a, b, slop)
+        assert math.isclose(spans.sloppy_turns([a, b], slop), want), (a, b, slop)
+        assert math.isclose(spans.sloppy_repeats([a, [p + 1 for p in b]], [0, 1], [], slop), want)
+
+
+def test_sloppy_of_a_repeated_term():
+    freq = lambda a, b, slop: spans.sloppy_repeats([a, b, a], [0, 1, 2], [[0, 2]], slop)
+    assert freq([0, 2], [1], 0) == 1.0 and freq([0], [1], 9) == 0.0  # two occurrences are needed
+    assert freq([0, 4], [1], 1) == 0.0 and math.isclose(freq([0, 4], [1], 2), 1 / 3)
 
 
 def test_near_spans():
