@@ -8,7 +8,7 @@ full sets are then compared exactly, and only confirmed links join documents.
 
 Neither step emits pairs. In a bucket or family, a breadth-first search compares a node only with those that no link
 has reached yet, and gives a star for each component found. Large buckets and families are dealt as blocks, so that
-none gathers in a task: blocks are compared within, then by representatives, and only what that does not join meets
+none gathers in a task: blocks are compared within and with one node of all, and only what that does not join meets
 all blocks (see `compared`). A link of similarity 0.8 misses all bands with a probability of 5e-8, and is estimated
 below the margin with about 1e-6.
 
@@ -128,9 +128,9 @@ def compared(rows_of: Callable[[DataFrame], DataFrame], groups: DataFrame, key:
     """Edges (a, b) that join all rows of a key which `compare` links, in groups of bounded size. groups: key, blocks (how
     many its rows make), rate (blocks a row); settled. rows_of gives the rows (node, cols) of some of the groups.
 
-    A key of one block is one group. Of a larger one, blocks are compared within first, then a representative of each
-    component found; this takes rows in proportion to the key's. Where that leaves a key in several components, all
-    rows outside the largest one meet every block, so that no link is lost.
+    A key of one block is one group. Of a larger one, blocks are compared within first, each with one node of the key
+    more; this takes rows in proportion to the key's. Rows that this does not join with that node, a few as a rule,
+    then meet every block, so that no link is lost.
     """
     run = lambda df: by_part(df, *cols).mapInArrow(compare, EDGES)
     alone = run(rows_of(groups.where("blocks = 1")).withColumn("part", F.xxhash64(key))).drop("part")
@@ -138,23 +138,18 @@ def compared(rows_of: Callable[[DataFrame], DataFrame], groups: DataFrame, key:
     if not large.limit(1).count():
         return alone
     dealt = lambda n, more: F.pmod(F.xxhash64("node", F.lit(more)), n).cast("int")
-    rows = settle(rows_of(large).withColumn("part", F.xxhash64(key, dealt(F.col("blocks"), 3))))
-    within = settle(run(rows))
-    # A block is one group, so its stars are its components.
-    first = rows.select("part", key, "node").join(within.select("part", F.col("b").alias("node"), F.col("a").alias("center")), ["part", "node"], "left")
-    first = settle(first.select(key, "node", F.coalesce("center", "node").alias("center")))
-    ones = settle(first.where("node = center").select(key, "node"))
-    many = settle(ones.groupBy(key).agg(F.count("*").alias("ones")).where("ones > 1"))
-    met = rows.join(settle(ones.join(many, key)), [key, "node"])
-    n = F.greatest(F.lit(1), F.ceil(F.col("ones") * F.col("rate"))).cast("int")
-    pairs = F.when(n == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(_pairs(dealt(n, 4), F.sequence(F.lit(0), n - 1)))
-    among = settle(run(met.withColumn("pair", F.explode(pairs)).withColumn("part", F.xxhash64(key, "pair"))))
-    known = within.unionByName(among).drop("part")
-    joined = components(among.drop("part")).select(F.col("node").alias("center"), F.col("root").alias("joined"))
-    second = settle(first.join(joined, "center", "left").select(key, "node", F.coalesce("joined", "center").alias("center")))
-    sizes = settle(second.groupBy(key, "center").agg(F.count("*").alias("n")))
-    most = settle(sizes.groupBy(key).agg(F.max(F.struct("n", "center")).alias("top"), F.sum("n").alias("all")).where("all > top.n"))
-    met = rows.join(settle(second.join(most, key).select(key, "node", (F.col("center") == F.col("top.center")).alias("inner"), F.col("top.n").alias("largest"), (F.col("all") - F.col("top.n")).alias("others"))), [key, "node"])
+    # Blocks are compared within, each with the key's first node: what it joins, in one block or another, is a component.
+    rows = settle(rows_of(large))
+    pivots = settle(rows.groupBy(key).agg(F.min("node").alias("pivot")))
+    own = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).otherwise(F.array(dealt(F.col("blocks"), 3)))
+    placed = rows.join(pivots, key).withColumn("part", F.explode(own)).withColumn("part", F.xxhash64(key, "part"))
+    within = settle(run(placed))
+    reached = within.select("part", F.col("b").alias("node"), F.col("a").alias("center"))
+    first = settle(placed.select(key, "node", "pivot", "part").join(reached, ["part", "node"], "left").select(key, "node", ((F.col("node") == F.col("pivot")) | F.coalesce(F.col("center") == F.col("pivot"), F.lit(False))).alias("inner")).distinct())
+    known = within.drop("part")
+    # Only what is outside that component meets all other blocks.
+    most = settle(first.groupBy(key).agg(F.sum(F.col("inner").cast("long")).alias("largest"), F.sum((~F.col("inner")).cast("long")).alias("others")).where("others > 0"))
+    met = rows.join(settle(first.join(most, key)), [key, "node"])
     inside, outside = (F.ceil(F.col(c) * F.col("rate")).cast("int") for c in ("largest", "others"))
     own = F.when(F.col("inner"), dealt(inside, 5)).otherwise(inside + dealt(outside, 5))
     pairs = _pairs(own, F.when(F.col("inner"), F.sequence(inside, inside + outside - 1)).otherwise(F.sequence(F.lit(0), inside + outside - 1)))
@@ -168,7 +163,7 @@ def _pairs(own: Column, others: Column) -> Column:
 
 
 def by_part(df: DataFrame, *cols: str) -> DataFrame:
-    return df.select("part", *cols).repartition("part").sortWithinPartitions("part")
+    return df.select("part", *cols).repartition("part").sortWithinPartitions("part", "node")  # the first is a star's center
 
 
 def _edges(part: int, pairs: list[tuple[int, int]], nodes: list[bytes]) -> pa.RecordBatch:
