@@ -233,7 +233,19 @@ def test_vectors(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
     want = brute(rows, lambda i: i % 50 == 0)
     assert {tuple(r) for r in vector_search.search(table, F.col("vec_id") % 50 == 0).collect()} == want
-    assert {tuple(r) for r in vector_search.search(table.repartition(7), F.col("vec_id") % 50 == 0, block=4).collect()} == want
+    assert {tuple(r) for r in vector_search.search(table.repartition(7), F.col("vec_id") % 50 == 0, query_bytes=1500).collect()} == want
+
+
+def test_vectors_far_and_alike(spark):
+    """Components near and beyond 64 bits, and a vector that most rows have."""
+    draw = random.Random(2)
+    rows = [(k, [draw.choice((-1, 1)) * (2.0 ** draw.randint(0, 22) + draw.random()) for _ in range(3)]) for k in range(120)]
+    rows += [(k, [0.5, 0.25, -1.0]) for k in range(200, 700)] + [(250, [0.5, 0.25, -1.0])] * 20
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in vector_search.search(df, F.col("vec_id") % 50 == 0).collect()} == brute(rows, lambda i: i % 50 == 0)
+    far = spark.createDataFrame([(0, [1e30]), (1, [1e18]), (2, [-1e18]), (3, [2.0])], "vec_id long, embedding array<double>")
+    out = {r["vec_id"]: r["score"] for r in vector_search.search(far, F.col("vec_id") == 0).collect()}
+    assert out == {1: 2**63 - 1, 2: -(2**63), 3: 2**63 - 1}
 
 
 def test_vectors_odd(spark):
