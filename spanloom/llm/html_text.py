@@ -12,7 +12,8 @@ ones too. Where all text is links, links count as text.
 
 A class or id does not remove an element that holds a main element or the page's only article, nor one whose furniture
 name is in one word with a name of layout ("content-sidebar-wrap") if it holds most of the page's text: the page is read
-again with that element kept. A head that does not close ends where the body or a block element opens.
+again with that element kept. So it is where nothing else is left: the article or main element with most text, or the
+element with a furniture name as a part of a longer one ("no-comments", "menu-open"), is then kept. A head that does not close ends where the body or a block element opens.
 
 Cases: a null or empty page, or one of markup only, has the empty text. Broken markup is read as far as it goes;
 elements that never close end with the page. Repeated rows give equal texts. Null ids and urls are carried. Other
@@ -64,10 +65,10 @@ class Line:
 class Named:
     """An element left out by its class or id: where it starts, and what it holds."""
 
-    __slots__ = ("articles", "layout", "main", "place", "size")
+    __slots__ = ("articles", "layout", "loose", "main", "place", "size")
 
-    def __init__(self, place: tuple[int, int], layout: bool) -> None:
-        self.place, self.layout = place, layout
+    def __init__(self, place: tuple[int, int], layout: bool, loose: bool) -> None:
+        self.place, self.layout, self.loose = place, layout, loose
         self.articles, self.main, self.size = 0, False, 0
 
 
@@ -112,7 +113,7 @@ class Page(HTMLParser):
     @staticmethod
     def names(attrs: list[tuple[str, str | None]]) -> list[set[str]]:
         """Classes and ids with a furniture name, each as its parts."""
-        words = [set(re.split(r"[^a-z]+", x)) for name, value in attrs if name in ("class", "id") and value for x in value.lower().split()]
+        words = [set(re.split(r"[^a-z]+", x)) - {""} for name, value in attrs if name in ("class", "id") and value for x in value.lower().split()]
         return [x for x in words if x & OUT_NAMES]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -137,7 +138,7 @@ class Page(HTMLParser):
             if tag not in VOID:
                 self.out, self.depth, self.quiet = tag, 1, 0
                 if tag not in OUT and (names := self.names(attrs)) and self.getpos() not in self.kept:
-                    self.holder = Named(self.getpos(), all(x & LAYOUT for x in names))
+                    self.holder = Named(self.getpos(), all(x & LAYOUT for x in names), tag in CONTAINERS or all(len(x) > 1 for x in names))
                     self.named.append(self.holder)
             return
         if tag in CONTAINERS:
@@ -196,6 +197,9 @@ class Page(HTMLParser):
     def wrappers(self) -> frozenset[tuple[int, int]]:
         """Places of elements that were left out by name but hold the page's main part."""
         size = sum(len(" ".join(p.split())) for x in self.lines for p in x.parts) + sum(x.size for x in self.named)
+        if not any(p.strip() for x in self.lines for p in x.parts):
+            loose = [x for x in self.named if x.loose and x.size]
+            return frozenset(x.place for x in loose if x.size == max(y.size for y in loose))
         return frozenset(x.place for x in self.named if x.main or x.articles == self.articles == 1 or x.layout and 2 * x.size > size)
 
 

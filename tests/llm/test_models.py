@@ -216,6 +216,13 @@ def test_pages_of_tables(spark):
     assert html_text.extract(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("page", ['<body><div class="layout has-sidebar"><article>{}</article></div></body>', '<body><nav><a href="/">x</a></nav><article class="post no-comments">{}</article></body>', '<body><div id="page" class="menu-open"><article>{}</article></div></body>', '<body><div class="menu-open"><div>{}</div></div></body>', '<body><main class="no-sidebar">{}</main><div class="comments">{}</div></body>'])
+def test_wrappers_named_like_furniture_are_kept(page):
+    text = "This is the body of the article, with words enough to count. " * 5
+    assert html_text.main_text(page.format(f"<p>{text}</p>", "<p>What a reader says.</p>")) == text.strip()
+    assert html_text.main_text('<body><div class="comments"><p>Only readers speak here.</p></div></body>') == ""
+
+
 # Vector search.
 
 
