@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,6 +17,7 @@ from spanloom.plans import query as Q
 from spanloom.plans.parser import parse
 from spanloom.schema import keyword, text
 from spanloom.sources.index import Searcher, TableIndex
+from spanloom.sources.snapshots import new_folder
 from spanloom.streaming.ingest import SearcherManager, ingest
 
 Made = Callable[[SparkSession, str], DataFrame]
@@ -256,7 +256,7 @@ def inverted_index(spark, sf_dir):
 
 @query
 def term_dict_stats(spark, sf_dir):
-    return D.term_stats(index(spark, sf_dir).postings(["text"])).select("term", "df", "ttf")
+    return index(spark, sf_dir).term_counts(["text"]).select("term", "df", "ttf")
 
 
 @query
@@ -266,13 +266,13 @@ def dictionary_stats(spark, sf_dir):
 
 @query
 def term_seek_ceil(spark, sf_dir):
-    terms = D.term_stats(index(spark, sf_dir).postings(["text", "lang"]))
+    terms = index(spark, sf_dir).term_counts(["text", "lang"])
     return D.seek_ceiling(terms, "text", "thf").unionByName(D.seek_ceiling(terms, "lang", "fr")).unionByName(D.seek_ceiling(terms, "lang", "zz"))
 
 
 @query
 def term_prefix(spark, sf_dir):
-    terms = D.term_stats(index(spark, sf_dir).postings(["text"]))
+    terms = index(spark, sf_dir).term_counts(["text"])
     return D.filtered_terms(terms, lambda c: c.startswith("tha")).select("term", "df")
 
 
@@ -403,18 +403,10 @@ def explain(spark, sf_dir):
     return spark.createDataFrame([(500, str(R.explain(s, tree, 500)))], "doc_id long, explanation string")
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/spanloom-{spark.sparkContext.applicationId}-{next(_numbers)}" if shared else tempfile.mkdtemp(prefix="spanloom-")
-
-
-_numbers = iter(range(1 << 30))
-
-
 @query
 def nrt_stream(spark, sf_dir):
     """Orders arrive as a stream of changes; the newest state of each customer is searched after a refresh."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     orders = table(spark, sf_dir, "orders")
     log = orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq_no"), F.when(F.col("o_orderstatus") == "P", "delete").otherwise("add").alias("op"), F.col("o_orderpriority").alias("text"), "o_totalprice")
     log.write.parquet(f"{folder}/log")

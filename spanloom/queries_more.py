@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +22,6 @@ from spanloom.sources.index import Searcher, StoredIndex, TableIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FIELDS = [text("text"), keyword("lang"), keyword("source")]
-_numbers = count()
 _written: dict[tuple[str, str], str] = {}
 
 
@@ -33,19 +30,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-    return f"{shared}/spanloom-{spark.sparkContext.applicationId}-more-{next(_numbers)}" if shared else tempfile.mkdtemp(prefix="spanloom-")
-
-
 def stored(spark: SparkSession, sf_dir: str) -> StoredIndex:
     """The documents' stored index, written once a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        path = folder(spark)
+        path = snapshots.new_folder(spark)
         StoredIndex.write(index(spark, sf_dir), path)
         _written[key] = path
     return StoredIndex(spark, _written[key], "doc_id", index(spark, sf_dir).schema)
@@ -102,7 +91,7 @@ def term_seek_floor(spark, sf_dir):
 
 def _halves(spark: SparkSession, sf_dir: str) -> StoredIndex:
     """An index of two segments."""
-    docs, path = table(spark, sf_dir, "documents"), folder(spark)
+    docs, path = table(spark, sf_dir, "documents"), snapshots.new_folder(spark)
     odd = F.col("doc_id") % 2 == 1
     return StoredIndex.write(TableIndex(docs.where(~odd), "doc_id", FIELDS), path).append(docs.where(odd))
 
@@ -327,7 +316,7 @@ def _slim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def writer_log(spark, sf_dir):
     """Additions, a delete by term, a delete by query, an update and a numeric update, in this order, by one commit. A
     delete reaches what was added before it."""
-    docs, path = _slim(spark, sf_dir), folder(spark)
+    docs, path = _slim(spark, sf_dir), snapshots.new_folder(spark)
     w = _writer(spark, path)
     w.add_documents(docs.where("doc_id % 3 = 0"))
     w.delete_by_terms(("lang", "de"))
@@ -341,7 +330,7 @@ def writer_log(spark, sf_dir):
 
 @query
 def writer_delete_all(spark, sf_dir):
-    docs, path = _slim(spark, sf_dir), folder(spark)
+    docs, path = _slim(spark, sf_dir), snapshots.new_folder(spark)
     w = _writer(spark, path)
     w.add_documents(docs)
     w.delete_all()
@@ -353,7 +342,7 @@ def writer_delete_all(spark, sf_dir):
 @query
 def writer_rollback(spark, sf_dir):
     """What was committed stays, what was not is gone; a numbered change each, and the flag that tells of open ones."""
-    docs, path = _slim(spark, sf_dir), folder(spark)
+    docs, path = _slim(spark, sf_dir), snapshots.new_folder(spark)
     w = _writer(spark, path)
     first = w.add_documents(docs.where("lang = 'fr'"))
     w.commit()
@@ -366,7 +355,7 @@ def writer_rollback(spark, sf_dir):
 @query
 def writer_modes(spark, sf_dir):
     """Whether an index exists before and after a commit, and what opening it, and publishing twice, does."""
-    docs, path = _slim(spark, sf_dir).where("lang = 'fr'"), folder(spark)
+    docs, path = _slim(spark, sf_dir).where("lang = 'fr'"), snapshots.new_folder(spark)
     rows = [("exists before", str(snapshots.exists(spark, path)).lower())]
     try:
         _writer(spark, path, mode="append")

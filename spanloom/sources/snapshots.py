@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,12 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
             fs, p = _files(spark, name)
             fs.delete(p, True)
     return old
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder that driver and executors share: under spark.checkpoint.dir, or, in local mode only, a
+    temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{shared}/spanloom-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spanloom-")
