@@ -216,6 +216,22 @@ def test_pages_of_tables(spark):
     assert html_text.extract(odd.where("false")).count() == 0
 
 
+def test_quality_of_many_rows_of_one_id(spark):
+    """The rows that labels bring along stay within the bound where ids repeat."""
+    good, bad = "Plain words make up a sentence, and it ends well.", "$$$ WIN!!! %%% 777 @@ ||"
+    rows = [(7, f"{good} {k}") for k in range(400)] + [(8, f"{bad} {k}") for k in range(400)] + [(None, good)] * 50 + [(k, good if k % 2 else bad) for k in range(20, 60)]
+    labels = [(7, 1), (8, 0), (None, 1), (7, 1)] + [(k, k % 2) for k in range(20, 60)]
+    documents, marks = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")
+    sizes, fit = [], quality.fit
+    try:
+        quality.fit = lambda x, y, *more: sizes.append(len(x)) or fit(x, y, *more)
+        out = quality.score_quality(documents, marks, sample=60).collect()
+    finally:
+        quality.fit = fit
+    assert len(out) == len(rows) and 20 < sizes[0] < 240
+    assert all(r["predicted"] == (r["doc_id"] != 8 and (r["doc_id"] in (7, None) or r["doc_id"] % 2)) for r in out)
+
+
 @pytest.mark.parametrize("page", ['<body><div class="layout has-sidebar"><article>{}</article></div></body>', '<body><nav><a href="/">x</a></nav><article class="post no-comments">{}</article></body>', '<body><div id="page" class="menu-open"><article>{}</article></div></body>', '<body><div class="menu-open"><div>{}</div></div></body>', '<body><main class="no-sidebar">{}</main><div class="comments">{}</div></body>'])
 def test_wrappers_named_like_furniture_are_kept(page):
     text = "This is the body of the article, with words enough to count. " * 5

@@ -47,3 +47,13 @@ def test_stages_odd(spark, odd, nothing):
             assert n == len(corpus_pipeline.STAGES) - 1 or out.columns == odd.columns
             docs = out
         assert docs.count() >= bool(docs is not nothing and out.count())
+
+
+def test_runs_agree(spark, tmp_path):
+    """The same rows, whatever the partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    made = []
+    for n in (1, 5):
+        docs.repartition(n).write.parquet(str(tmp_path / str(n) / "documents.parquet"))
+        made.append(Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path / str(n))).collect()))
+    assert made[0] == made[1] and len(made[0]) > 50

@@ -227,3 +227,10 @@ def test_weak_parts_need_their_complement(spark):
     assert kinds(1) == [] and kinds(2) == ["key"] and kinds(4) == []
     assert kinds(3) == ["id", "key", "endpoint"]
     assert kinds(6) == ["access", "key", "hex"]
+
+
+def test_many_matches_of_one_text(spark):
+    """Places of matches by running sums of slices: a slice, its borders, and far more than one."""
+    texts = [" ".join(f"token={'x' * (12 + k % 7)}é" for k in range(n)) for n in (1, 1023, 1024, 1025, 2049, 30_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_secrets(list(enumerate(texts)), secret_scan.scan(df).collect())
