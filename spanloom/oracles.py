@@ -140,12 +140,13 @@ WHERE gap <= 2 GROUP BY doc_id""", ["is", "was", "the"]),
     "point_stats": "SELECT count(c_acctbal) AS size, count(c_acctbal) AS doc_count, min(c_acctbal) AS min_value, max(c_acctbal) AS max_value FROM customer",
     "dv_ordinals": "SELECT n_name AS value, row_number() OVER (ORDER BY n_name) - 1 AS ord FROM (SELECT DISTINCT n_name FROM nation)",
     "norms": f"{BASE} SELECT doc_id, len::INT AS len, round(dl, 6) AS dl FROM dl",
-    "term_vectors": f"{BASE} SELECT term, tf::INT AS tf, first_pos::INT AS first_pos FROM tf WHERE doc_id = 7",
+    "term_vectors": f"{BASE} SELECT doc_id, term, tf::INT AS tf, first_pos::INT AS first_pos FROM tf",
     "stored_fields": f"{pivot(a='qui')} SELECT doc_id, source, n_chars FROM p WHERE a IS NOT NULL",
-    "token_offsets": r"""WITH parts AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS term, l, g FROM (SELECT doc_id, string_split_regex(text, '\s+') AS l, regexp_extract_all(text, '\s+') AS g FROM documents)),
-placed AS (SELECT doc_id, term, k, (list_sum(list_transform(l[1:k - 1], lambda x: length(x))) IS NULL)::INT AS none, coalesce(list_sum(list_transform(l[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(g[1:k - 1], lambda x: length(x))), 0) AS start FROM parts WHERE k <= 7),
-n AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, start FROM placed WHERE term <> '')
-SELECT doc_id, term, pos::INT AS pos, start::INT AS start, (start + length(term))::INT AS "end" FROM n WHERE pos < 5""",
+    "token_offsets": r"""WITH parts AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS term, unnest(list_concat(g, [''])) AS gap
+  FROM (SELECT doc_id, string_split_regex(text, '\s+') AS l, regexp_extract_all(text, '\s+') AS g FROM documents WHERE text IS NOT NULL)),
+placed AS (SELECT doc_id, k, term, sum(length(term) + length(gap)) OVER (PARTITION BY doc_id ORDER BY k) - length(term) - length(gap) AS start FROM parts)
+SELECT doc_id, term, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS pos, start::INT AS start, (start + length(term))::INT AS "end" FROM placed WHERE term <> ''""",
     "sorted_set_dv": "SELECT user_id, array_to_string(l, ',') AS kinds, l[(len(l) + 1) // 2] AS middle FROM (SELECT user_id, list_sort(list_distinct(list(event_type))) AS l FROM events GROUP BY user_id)",
     "doc_set_algebra": f"{pivot(a='the', b='is', c='de')} SELECT doc_id, 'and_not' AS kind FROM p WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NULL UNION ALL SELECT doc_id, 'or' FROM p WHERE b IS NOT NULL OR c IS NOT NULL",
     "required_optional": hits("a + coalesce(b, 0)", "a IS NOT NULL", a="the", b="is"),

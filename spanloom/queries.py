@@ -299,12 +299,6 @@ def norms(spark, sf_dir):
 
 @query
 def term_vectors(spark, sf_dir):
-    return D.term_vector(index(spark, sf_dir).postings(["text"]), 7).select("term", "tf", F.element_at("positions", 1).alias("first_pos"))
-
-
-@query
-def term_vectors_all(spark, sf_dir):
-    """The vectors of all documents; term_vectors has one document's, as its SQL does."""
     return index(spark, sf_dir).postings(["text"]).select("doc_id", "term", "tf", F.element_at("positions", 1).alias("first_pos"))
 
 
@@ -316,12 +310,6 @@ def stored_fields(spark, sf_dir):
 
 @query
 def token_offsets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.offsets(F.col("text"))).alias("x")).where("x.pos < 5").select("doc_id", "x.term", "x.pos", "x.start", "x.end")
-
-
-@query
-def token_offsets_whole(spark, sf_dir):
-    """All tokens of whole texts; token_offsets has the first of each text, as its SQL does."""
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.offsets(F.col("text"))).alias("x")).select("doc_id", "x.term", "x.pos", "x.start", "x.end")
 
 

@@ -102,7 +102,7 @@ def test_offsets_of_whole_texts(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         want.update((r["doc_id"], m.group(), k, m.start(), m.end()) for k, m in enumerate(re.finditer(r"\S+", r["text"] or "")))
     assert max(pos for _, _, pos, _, _ in want) > 1000 and all(len(t.encode()) < analysis.MAX_TOKEN_BYTES for _, t, *_ in want)
-    assert Counter(tuple(r) for r in QUERIES["token_offsets_whole"](spark, SF).collect()) == want
+    assert Counter(tuple(r) for r in QUERIES["token_offsets"](spark, SF).collect()) == want
 
 
 def test_term_vectors_of_all_documents(spark):
@@ -110,5 +110,5 @@ def test_term_vectors_of_all_documents(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         words = (r["text"] or "").split()
         want |= {(r["doc_id"], w, n, words.index(w)) for w, n in Counter(words).items()}
-    made = [tuple(r) for r in QUERIES["term_vectors_all"](spark, SF).collect()]
+    made = [tuple(r) for r in QUERIES["term_vectors"](spark, SF).collect()]
     assert len(made) == len(want) and set(made) == want
