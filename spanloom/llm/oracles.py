@@ -61,4 +61,45 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op1_source_mixing": OP1, "op6_near_dedup": OP6, "op9_vector_search": OP9, "op10_exact_dedup": OP10}
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+HOST = r"[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"
+URL = r"https?://[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?"
+
+
+def _found(kind: int, pattern: str, where: str = "true", lead: str = "0", size: str = "length(m)") -> str:
+    """Matches of a pattern with their places: the text between matches and the matches, added up. `lead` is the length
+    of what a match holds in front of itself, as this dialect cannot look behind."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {kind} AS kind, before + {lead} AS s, before + length(m) AS e, {size} AS size, substr(m, ({lead}) + 1) AS m FROM (
+  SELECT doc_id, m, k, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m) AS before FROM (
+    SELECT doc_id, generate_subscripts(ms, 1) AS k, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap
+    FROM (SELECT doc_id, regexp_extract_all(text, '{quoted}') AS ms, string_split_regex(text, '{quoted}') AS gaps FROM documents WHERE {where}) WHERE len(ms) > 0))"""
+
+
+#: Parts that need a look around are maximal runs here, of which the right ones are kept.
+OP8 = f"""
+WITH assigned AS ({_found(0, ASSIGN, size="length(regexp_extract(m, '" + ASSIGN.replace("'", "''") + "', 1))")}),
+base AS (
+  SELECT doc_id, kind, s, e FROM assigned WHERE size >= 12
+  UNION ALL SELECT doc_id, kind, s, e FROM ({_found(1, "AKIA[A-Z0-9]+", "contains(text, 'AKIA')")}) WHERE e - s >= 18
+  UNION ALL SELECT doc_id, kind, s, e FROM ({_found(2, "[0-9a-f]+")}) WHERE e - s >= 16),
+weak AS (
+  SELECT doc_id, 3 AS kind, s, e FROM ({_found(3, "[A-Z0-9]+", "contains(text, 'AKIA')")}) WHERE e - s BETWEEN 12 AND 17 AND starts_with(m, 'AKIA')
+  UNION ALL SELECT doc_id, 4, s, e FROM ({_found(4, "[A-Za-z0-9+/=]+")}) WHERE e - s = 40 AND NOT contains(m, '=')
+  UNION ALL SELECT doc_id, 4, s, e FROM assigned WHERE size BETWEEN 6 AND 11
+  UNION ALL SELECT doc_id, 5, s, e FROM ({_found(5, f"{URL}|(?:^|[^A-Za-z0-9.-]){HOST}", "contains(text, '://') OR contains(text, '.amazonaws.com')", lead=f"CASE WHEN regexp_full_match(m, '{URL}') OR regexp_full_match(m, '{HOST}') THEN 0 ELSE 1 END")})),
+parts AS (SELECT DISTINCT *, CASE WHEN kind IN (1, 3) THEN 0 WHEN kind = 5 THEN 2 ELSE 1 END AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+asked AS (SELECT * FROM parts w WHERE kind >= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+extra AS (
+  SELECT w.doc_id, w.kind, w.s, w.e FROM asked w JOIN parts p ON p.doc_id = w.doc_id AND p.role <> w.role AND abs(p.s - w.s) <= 256 GROUP BY w.doc_id, w.kind, w.s, w.e, w.role
+  HAVING CASE w.role WHEN 0 THEN bool_or(p.role = 1) WHEN 1 THEN true ELSE bool_or(p.role = 0) AND bool_or(p.role = 1) END),
+named AS (
+  SELECT *, ['assign', 'access', 'hex', 'id', 'key', 'endpoint'][kind + 1] || ':' || s || ':' || e AS shown FROM (SELECT *, true AS own FROM base UNION ALL SELECT *, false FROM extra)),
+per AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(shown, ',' ORDER BY s, kind, e) FILTER (own) AS base, string_agg(shown, ',' ORDER BY s, kind, e) AS spans FROM named GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_source_mixing": OP1, "op6_near_dedup": OP6, "op8_secret_scan": OP8, "op9_vector_search": OP9, "op10_exact_dedup": OP10}
