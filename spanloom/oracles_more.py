@@ -103,7 +103,7 @@ ORACLES: dict[str, str] = {
     "rescore_request": rescored("a * 0.5 + b * 2"),
     "score_refreshed": f"{PIVOT_TOP} SELECT doc_id, round(CASE WHEN rank <= 12 AND b IS NOT NULL THEN a * 0.5 + b * 2 ELSE a * 0.5 END, 6) AS sort_score FROM top",
     "feature_map": f"{PIVOT_TOP} SELECT doc_id, round(a, 6) AS previous_score, round(b, 6) AS is_score, 2 AS n_features FROM top WHERE b IS NOT NULL",
-    "explain_rows": EXPLAINED,
+    "explain": EXPLAINED,
     "two_collectors": f"{pivot(a='the')} SELECT 'all' AS part, count(*) AS hits FROM p WHERE a IS NOT NULL UNION ALL SELECT lang, count(*) FROM p WHERE a IS NOT NULL GROUP BY lang",
     "ordinal_map": "WITH c AS (SELECT DISTINCT (c_custkey % 3)::VARCHAR AS segment, c_mktsegment || '/' || c_nationkey AS value FROM customer) SELECT segment, value, row_number() OVER (PARTITION BY segment ORDER BY value) - 1 AS local_ord, dense_rank() OVER (ORDER BY value) - 1 AS ord FROM c",
     "binary_tokens": "SELECT doc_id, hex(source) AS term, 1::INT AS tf, 1::INT AS len FROM documents WHERE source IS NOT NULL",

@@ -384,13 +384,6 @@ def highlight(spark, sf_dir):
     return H.highlight(i, q, Searcher(i).hits(q), "text", 100, number=2, builder="windows", encoder="html").select("doc_id", F.array_join("fragments", " ... ").alias("marked"))
 
 
-@query
-def explain(spark, sf_dir):
-    s = searcher(spark, sf_dir)
-    tree = Q.boolean([t("the")], [t("and"), Q.Phrase("text", ("of", "the"))])
-    return spark.createDataFrame([(500, str(R.explain(s, tree, 500)))], "doc_id long, explanation string")
-
-
 @query
 def nrt_stream(spark, sf_dir):
     """Orders arrive as a stream of changes; the newest state of each customer is searched after a refresh."""
