@@ -124,37 +124,35 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 EDGES = "part long, a binary, b binary"
 
 
-def compared(rows_of: Callable[[DataFrame], DataFrame], groups: DataFrame, key: str, cols: list[str], compare: Callable) -> DataFrame:
+def compared(rows_of: Callable[[DataFrame], DataFrame], nodes_of: Callable[[DataFrame], DataFrame], groups: DataFrame, key: str, cols: list[str], compare: Callable) -> DataFrame:
     """Edges (a, b) that join all rows of a key which `compare` links, in groups of bounded size. groups: key, blocks (how
-    many its rows make), rate (blocks a row); settled. rows_of gives the rows (node, cols) of some of the groups.
+    many its rows make), rate (blocks a row), pivot (its first node); settled. rows_of gives the rows (node, cols) of some
+    of the groups, with the groups' columns, and nodes_of those without cols.
 
-    A key of one block is one group. Of a larger one, blocks are compared within first, each with one node of the key
-    more; this takes rows in proportion to the key's. Rows that this does not join with that node, a few as a rule,
-    then meet every block, so that no link is lost.
+    A key of one block is one group. Of a larger one, blocks are compared within first, each with the pivot; this takes
+    rows in proportion to the key's. Rows that this does not join with the pivot, a few as a rule, then meet every block,
+    so that no link is lost.
     """
     run = lambda df: by_part(df, *cols).mapInArrow(compare, EDGES)
-    alone = run(rows_of(groups.where("blocks = 1")).withColumn("part", F.xxhash64(key))).drop("part")
-    large = settle(groups.where("blocks > 1"))
-    if not large.limit(1).count():
-        return alone
     dealt = lambda n, more: F.pmod(F.xxhash64("node", F.lit(more)), n).cast("int")
-    # Blocks are compared within, each with the key's first node: what it joins, in one block or another, is a component.
-    rows = settle(rows_of(large))
-    pivots = settle(rows.groupBy(key).agg(F.min("node").alias("pivot")))
     own = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).otherwise(F.array(dealt(F.col("blocks"), 3)))
-    placed = rows.join(pivots, key).withColumn("part", F.explode(own)).withColumn("part", F.xxhash64(key, "part"))
-    within = settle(run(placed))
-    reached = within.select("part", F.col("b").alias("node"), F.col("a").alias("center"))
-    first = settle(placed.select(key, "node", "pivot", "part").join(reached, ["part", "node"], "left").select(key, "node", ((F.col("node") == F.col("pivot")) | F.coalesce(F.col("center") == F.col("pivot"), F.lit(False))).alias("inner")).distinct())
+    placed = lambda df: df.withColumn("part", F.explode(own)).withColumn("part", F.xxhash64(key, "part"))
+    within = settle(run(placed(rows_of(groups))))
     known = within.drop("part")
-    # Only what is outside that component meets all other blocks.
+    large = settle(groups.where("blocks > 1"))
+    if not large.limit(1).count():
+        return known
+    reached = within.select("part", F.col("b").alias("node"), F.col("a").alias("center"))
+    inner = (F.col("node") == F.col("pivot")) | F.coalesce(F.col("center") == F.col("pivot"), F.lit(False))
+    first = settle(placed(nodes_of(large)).join(reached, ["part", "node"], "left").select(key, "node", inner.alias("inner")).distinct())
     most = settle(first.groupBy(key).agg(F.sum(F.col("inner").cast("long")).alias("largest"), F.sum((~F.col("inner")).cast("long")).alias("others")).where("others > 0"))
-    met = rows.join(settle(first.join(most, key)), [key, "node"])
+    if not most.limit(1).count():
+        return known
+    met = rows_of(settle(large.join(most.select(key), key, "left_semi"))).join(settle(first.join(most, key)), [key, "node"])
     inside, outside = (F.ceil(F.col(c) * F.col("rate")).cast("int") for c in ("largest", "others"))
     own = F.when(F.col("inner"), dealt(inside, 5)).otherwise(inside + dealt(outside, 5))
     pairs = _pairs(own, F.when(F.col("inner"), F.sequence(inside, inside + outside - 1)).otherwise(F.sequence(F.lit(0), inside + outside - 1)))
-    cross = run(met.withColumn("pair", F.explode(pairs)).withColumn("part", F.xxhash64(key, "pair"))).drop("part")
-    return alone.unionByName(known).unionByName(cross)
+    return known.unionByName(run(met.withColumn("pair", F.explode(pairs)).withColumn("part", F.xxhash64(key, "pair"))).drop("part"))
 
 
 def _pairs(own: Column, others: Column) -> Column:
@@ -238,16 +236,17 @@ def families(nodes: DataFrame, threshold: float) -> DataFrame:
         yield made()
 
     banded = settle(nodes.select("node", "registers").mapInArrow(band, "band long, node binary"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    sized = settle(shared.select("band", F.ceil(F.col("members") / BLOCK_NODES).alias("blocks"), F.lit(1 / BLOCK_NODES).alias("rate")))
-    return compared(lambda some: banded.join(some, "band").join(nodes, "node"), sized, "band", ["node", "n", "registers"], compare)
+    shared = banded.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
+    sized = settle(shared.select("band", F.ceil(F.col("members") / BLOCK_NODES).alias("blocks"), F.lit(1 / BLOCK_NODES).alias("rate"), "pivot"))
+    nodes_of = lambda some: banded.join(some, "band")
+    return compared(lambda some: nodes_of(some).join(nodes, "node"), nodes_of, sized, "band", ["node", "n", "registers"], compare)
 
 
 def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Edges (a, b) that join all members whose full sets are linked. members: name (of a row), node, n, root; settled."""
-    sums = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
+    sums = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("node").alias("pivot"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.least(F.col("members"), F.ceil(F.col("total") / BLOCK_SHINGLES)))
-    sized = settle(sums.select("root", blocks.cast("long").alias("blocks"), (blocks / F.col("members")).alias("rate")))
+    sized = settle(sums.select("root", blocks.cast("long").alias("blocks"), (blocks / F.col("members")).alias("rate"), "pivot"))
     named = df.select(row_name(F.col(id_col)).alias("name"), F.col(text_col).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +255,8 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
             own = [shingles(t.as_py(), width) for t in batch.column("text")]
             # Of several rows with a name, those of another set are not the member meant.
             same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == node.as_py() for x, node in zip(own, batch.column("node"))]
-            cols = [batch.column(c) for c in ("root", "node", "blocks", "rate")] + [pa.array([x.tobytes() for x in own], pa.large_binary()).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["root", "node", "blocks", "rate", "hashes"]).filter(pa.array(same))
+            cols = [batch.column(c) for c in ("root", "node", "blocks", "rate", "pivot")] + [pa.array([x.tobytes() for x in own], pa.large_binary()).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["root", "node", "blocks", "rate", "pivot", "hashes"]).filter(pa.array(same))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -271,9 +270,9 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
         placed = settle(members.join(some, "root"))
         # Texts of no member stay where they are, but for what the filter's bounded size lets through.
         texts = maybe_in(named, "name", placed, "name", "maybe").where("maybe").join(placed, "name")
-        return texts.mapInArrow(sets, "root binary, node binary, blocks long, rate double, hashes binary")
+        return texts.mapInArrow(sets, "root binary, node binary, blocks long, rate double, pivot binary, hashes binary")
 
-    return compared(rows_of, sized, "root", ["node", "hashes"], compare)
+    return compared(rows_of, lambda some: members.join(some, "root"), sized, "root", ["node", "hashes"], compare)
 
 
 def exact_stars(own: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
