@@ -5,9 +5,10 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +24,27 @@ Model = TypeVar("Model")
 _held: dict[tuple, object] = {}
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where its C library can."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if give:
+        give(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, so that few rows' results are held at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def let_go() -> None:
     """Drops the model that this Python worker holds and gives freed memory back to the system.
 
     Workers go on from stage to stage, so what one leaves behind counts against the next.
     """
     _held.clear()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
-    if trim:
-        trim(0)
+    trim()
 
 
 def held(make: Callable[..., Model], *key: Hashable) -> Model:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import held
+from spanloom.llm.common import held, sliced, trim
 
 #: The sample of a language: about so many documents, so many characters of all at most.
 SAMPLE_DOCS, SAMPLE_CHARS = 100, 40_000
@@ -39,8 +39,8 @@ SHARPNESS = 8.0
 #: Columns of a state's row, the first for letters that have none. Bits of a letter's number.
 SPACE, DENSE, LETTER_BITS = 32, 64, 21
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: So few parses go on one by one.
-FEW = 24
+#: So few parses go on one by one; so many rows are held at a time.
+FEW, ROWS = 24, 1000
 
 
 def held_out(id_: Column, of: int = 5, remainder: int = 0) -> Column:
@@ -126,11 +126,9 @@ class Moves:
     any that no sample has.
     """
 
-    def __init__(self, states: list[dict[int, int]]) -> None:
-        state = np.repeat(np.arange(len(states)), [len(out) for out in states])
-        letter = np.array([c for out in states for c in out], "int64")
-        to = np.array([to for out in states for to in out.values()], "int64") * DENSE
-        self.dense = np.zeros(len(states) * DENSE, "int32")
+    def __init__(self, states: int, state: np.ndarray, letter: np.ndarray, to: np.ndarray) -> None:
+        to = to * DENSE
+        self.dense = np.zeros(states * DENSE, "int32")
         often = letter < DENSE
         self.dense[state[often] * DENSE + letter[often]] = to[often]
         self.keys, self.to = (state[~often] << LETTER_BITS) + letter[~often], to[~often]
@@ -181,14 +179,19 @@ class Parser:
         known = sorted(shares, key=lambda c: (-shares[c], c))
         self.number = np.zeros(0x110000, "int32")
         self.number[known] = np.arange(1, len(known) + 1)
-        states: list[dict[int, int]] = [{}]
+        total = 1
         self.first = np.zeros((len(coded), len(known) + 1), "int32")  # the state after a phrase's first letter
+        parts = [np.zeros((3, 0), "int64")]  # state, letter, next state; one language's automaton is held at a time
         for k, own in enumerate(coded):
-            root = len(states)
-            states += [{c: to + root for c, to in out.items()} for out in automaton(self.number[own].tolist())]
-            for c, to in states[root].items():
-                self.first[k, c] = to * DENSE
-        self.moves = Moves(states)
+            made = automaton(self.number[own].tolist())
+            for c, to in made[0].items():
+                self.first[k, c] = (to + total) * DENSE
+            sizes = np.fromiter(map(len, made), "int64", len(made))
+            letter, to = (np.fromiter((x for out in made for x in of(out)), "int64", int(sizes.sum())) for of in (dict.keys, dict.values))
+            parts.append(np.stack([np.repeat(np.arange(len(made)), sizes) + total, letter, to + total]))
+            total += len(made)
+            del made
+        self.moves = Moves(total, *np.concatenate(parts, axis=1))
         self.bits = np.array([math.log2(max(2, len(own))) for own in coded])
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +311,9 @@ class Parser:
 
 
 def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(dict(texts))
+    made = Parser(dict(texts))
+    trim()
+    return made
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None) -> DataFrame:
@@ -317,7 +322,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = held(_parser, learned)
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             found = parser.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
@@ -337,7 +342,7 @@ def drop_unidentified(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = held(_parser, learned)
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             texts = batch.column(at).to_pylist()
             if not learned:
                 yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))

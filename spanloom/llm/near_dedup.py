@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.bloom import maybe_in
-from spanloom.llm.common import fresh, let_go, settle, stored
+from spanloom.llm.common import fresh, let_go, settle, sliced, stored
 from spanloom.llm.shingles import mixed, shingles
 
 REGISTERS, ROWS = 128, 4
@@ -114,13 +114,6 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of TOGETHER rows at most, so that few rows' sets are held at a time."""
-    for batch in batches:
-        for at in range(0, len(batch), TOGETHER):
-            yield batch.slice(at, TOGETHER)
-
-
 EDGES = "part long, a binary, b binary"
 
 
@@ -195,7 +188,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in sliced(batches):
+        for batch in sliced(batches, TOGETHER):
             sizes, nodes, registers = [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py(), width)
@@ -251,7 +244,7 @@ def confirmed(df: DataFrame, members: DataFrame, id_col: str, text_col: str, wid
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in sliced(batches):
+        for batch in sliced(batches, TOGETHER):
             own = [shingles(t.as_py(), width) for t in batch.column("text")]
             # Of several rows with a name, those of another set are not the member meant.
             same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == node.as_py() for x, node in zip(own, batch.column("node"))]
