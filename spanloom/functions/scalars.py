@@ -29,6 +29,11 @@ def sortable_bytes(n: int, size: int = 8) -> bytes:
     return ((n + (1 << (8 * size - 1))) % (1 << (8 * size))).to_bytes(size, "big")
 
 
+def sortable_hex(n: Column) -> Column:
+    """Whole numbers as text of 16 digits in their order."""
+    return F.lpad(F.hex(n.cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+
+
 def next_up(x: float) -> float:
     return math.nextafter(x, math.inf)
 

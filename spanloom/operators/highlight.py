@@ -222,10 +222,11 @@ def fragments(values: Sequence[str], matches: Sequence[Match], size: int, number
     return [render(text, f, pre, post, ENCODERS[encoder]) for f in found[:number]]
 
 
-def highlight(index: TableIndex, query: Query, hits: DataFrame, name: str, size: int = 100, matched: Sequence[str] = (), **options) -> DataFrame:
-    """doc_id, fragments: of the hits' field `name`, marked for the query's terms in it and in the fields `matched`."""
+def highlight(index: TableIndex, query: Query, hits: DataFrame, name: str, size: int = 100, matched: Sequence[str] = (), field_match: bool = True, **options) -> DataFrame:
+    """doc_id, fragments: of the hits' field `name`, marked for the query's terms in it and in the fields `matched`;
+    without `field_match`, for its terms in any field."""
     fields = [name, *matched]
-    terms = [x for x in query.terms() if x[0] in fields]
+    terms = [x for x in query.terms() if x[0] in fields] if field_match else [(f, t) for f in fields for t in dict.fromkeys(t for _, t in query.terms())]
     stats, totals = index.statistics(terms)
     max_doc = next(iter(stats.values())).max_doc if stats else 0
     numbers = {f: {t: k for k, t in enumerate(dict.fromkeys(t for g, t in terms if g == f))} for f in fields}

@@ -7,14 +7,14 @@ new one. A delete or an update reaches documents added before it only.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.plans.query import Query, Term, boolean
 from spanloom.schema import FieldSpec
-from spanloom.sources.index import Searcher, TableIndex
+from spanloom.sources.index import Searcher, StoredIndex, TableIndex
 from spanloom.sources.snapshots import current, exists, publish, read, vacuum
 
 FieldTerm = tuple[str, str]
@@ -85,9 +85,12 @@ def compact(docs: DataFrame, deletes: DataFrame | None, key: str, segments: int,
     return docs.repartition(segments).sortWithinPartitions(*sort) if sort else docs.repartition(segments)
 
 
-def plan_merges(sizes: dict[str, int], at_once: int = 10, most: int = 5 << 30, per_tier: int = 5, floor: int = 2 << 20) -> list[list[str]]:
+def plan_merges(sizes: dict[str, int], at_once: int = 10, most: int = 5 << 30, per_tier: int = 5, floor: int = 2 << 20, live: Mapping[str, float] | None = None, reclaim: float = 2.0) -> list[list[str]]:
     """Files to merge together: of sizes alike, small ones first, no result above `most` bytes. Sizes under the floor
-    count as it; as many files as the tiers allow stay."""
+    count as it; as many files as the tiers allow stay. live: the share of a file's rows that are not deleted; a file
+    counts by its live part, and merges that reclaim more come first."""
+    whole = dict(sizes)
+    sizes = {n: int(size * (live or {}).get(n, 1.0)) for n, size in sizes.items()}
     order = sorted((n for n in sizes if sizes[n] < most / 2), key=lambda n: (-sizes[n], n))
     total, level, allowed = sum(sizes[n] for n in order), max(floor, min((sizes[n] for n in order), default=floor)), 0
     while total > level * per_tier:
@@ -104,7 +107,8 @@ def plan_merges(sizes: dict[str, int], at_once: int = 10, most: int = 5 << 30, p
                     size += sizes[n]
             if len(group) > 1:
                 skew = max(floor, sizes[group[0]]) / sum(max(floor, sizes[n]) for n in group)
-                score = skew * max(1, size) ** 0.05
+                kept = size / max(1, sum(whole[n] for n in group))
+                score = skew * max(1, size) ** 0.05 * kept**reclaim
                 best = (score, group) if best is None or score < best[0] else best
         if best is None:
             break
@@ -114,6 +118,13 @@ def plan_merges(sizes: dict[str, int], at_once: int = 10, most: int = 5 << 30, p
     return out
 
 
+def merge_by_policy(index: StoredIndex, **options) -> StoredIndex:
+    """The index after the merges that its segments' sizes and deletions call for, one version for each."""
+    for group in plan_merges(index.sizes(), live=index.live_shares(), **options):
+        index = index.merge(only=group)
+    return index
+
+
 class IndexWriter:
     """Publishes snapshots of a set of documents under a path of any Hadoop file system; one writer at a time.
 

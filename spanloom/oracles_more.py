@@ -111,6 +111,8 @@ ORACLES: dict[str, str] = {
     "multivalued_inversion": BASE.replace("doc_id", "conv_id").replace("FROM documents", "FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, role, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)") + " SELECT conv_id, term, tf::INT AS tf, first_pos::INT AS first_pos, last_pos::INT AS last_pos, len::INT AS len FROM tf JOIN lens USING (conv_id)",
     "inversion_rules": "SELECT unnest(['no such column', 'numbers are not indexed', 'binary is not tokenized', 'vectors need an index', 'dimensions', 'phrases need positions']) AS name, 'ValueError' AS raised",
     "base36_names": "SELECT o_orderkey, lower(to_base(o_orderkey, 36)) AS base36, '_' || lower(to_base(o_orderkey, 36)) AS segment FROM orders",
+    "sortable_numbers": "SELECT c_custkey, lpad(hex((c_custkey::HUGEINT - 700 + 9223372036854775808)::UBIGINT), 16, '0') AS code FROM customer",
+    "merged_by_policy": hits("a", "a IS NOT NULL", a="is").replace("AS score FROM p", "AS score, 1::INT AS segments FROM p"),
     "sloppy_factors": "SELECT d::INT AS distance, round(1.0::DOUBLE / (d + 1), 9) AS factor FROM range(20) r(d)",
     "writer_log": """WITH a AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE NOT (doc_id % 3 = 0 AND lang IS NOT DISTINCT FROM 'de') AND coalesce(n_chars, 0) < 5000 AND source IS DISTINCT FROM 'src1'
   UNION ALL SELECT doc_id, 'xx', source, n_chars FROM documents WHERE source = 'src1')
@@ -122,4 +124,5 @@ SELECT doc_id, lang, CASE WHEN lang = 'en' THEN -5 ELSE n_chars END AS n_chars F
     "highlight_whole": BASE + ", n AS (SELECT doc_id, pos, term, term IN ('the', 'of') AND count(*) FILTER (term IN ('the', 'of')) OVER (PARTITION BY doc_id ORDER BY pos) <= 256 AS hit FROM toks), g AS (SELECT doc_id, regexp_extract_all(text, '\\s+') AS gaps, regexp_matches(text, '^\\s') AS led, regexp_matches(text, '\\s$') AS trailed FROM documents), j AS (SELECT n.doc_id, string_agg(CASE WHEN pos > 0 THEN gaps[(pos + led::INT)::INT] WHEN led THEN gaps[1] ELSE '' END || CASE WHEN hit AND term = 'the' THEN '<i>the</i>' WHEN hit THEN '<u>of</u>' ELSE " + _html.format("term") + " END, '' ORDER BY pos) || CASE WHEN any_value(trailed) THEN any_value(gaps)[-1] ELSE '' END AS marked FROM n JOIN g ON g.doc_id = n.doc_id GROUP BY n.doc_id) SELECT doc_id, marked FROM j WHERE doc_id IN (SELECT doc_id FROM toks WHERE term = 'the')",
     **{f"stored_{name}": sql for name, sql in SEARCHES.items() if name in ("term_bm25", "term_keyword", "match_all", "dismax", "boosting", "boost_nested", "constant_score") or name.startswith(("bool_", "phrase_", "span_", "query_string", "point_int", "point_boosted")) and name != "phrase_sloppy2"},
 }
+ORACLES["highlight_any_field"] = ORACLES["highlight_whole"]
 ORACLES |= {f"stored_{name}": ORACLES[name] for name in ("phrase_sloppy_scored", "phrase_sloppy_three", "span_near_unordered_three", "query_string_phrase")}

@@ -114,6 +114,17 @@ def segments_merged(spark, sf_dir):
     return rounded(Searcher(merged).hits(Q.Phrase("text", ("of", "the"))))
 
 
+@query
+def merged_by_policy(spark, sf_dir):
+    """Segments merged as their sizes call for; hits stay what they were."""
+    docs, path = table(spark, sf_dir, "documents"), snapshots.new_folder(spark)
+    made = StoredIndex.write(TableIndex(docs.where("doc_id % 3 = 0"), "doc_id", FIELDS), path)
+    for k in (1, 2):
+        made = made.append(docs.where(F.col("doc_id") % 3 == k))
+    merged = M.merge_by_policy(made, per_tier=1, at_once=3)
+    return rounded(Searcher(merged).hits(t("is"))).withColumn("segments", F.lit(len(merged.segments)))
+
+
 @query
 def live_docs(spark, sf_dir):
     """Deletions are ids beside the segments; scores are those of the live documents alone."""
@@ -299,6 +310,11 @@ def base36_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.base36(F.col("o_orderkey")).alias("base36"), scalars.segment_name(F.col("o_orderkey")).alias("segment"))
 
 
+@query
+def sortable_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.sortable_hex(F.col("c_custkey") - 700).alias("code"))
+
+
 @query
 def sloppy_factors(spark, sf_dir):
     return spark.createDataFrame([(d, sloppy_factor(d)) for d in range(20)], "distance int, factor double").withColumn("factor", F.round("factor", 9))
@@ -404,6 +420,15 @@ def highlight_whole(spark, sf_dir):
     return _marked(spark, sf_dir, builder="single", encoder="html", pre=("<i>", "<u>"), post=("</i>", "</u>")).select("doc_id", F.element_at("fragments", 1).alias("marked"))
 
 
+@query
+def highlight_any_field(spark, sf_dir):
+    """Terms of any field of the query, the whole text marked for them."""
+    i = index(spark, sf_dir)
+    q = Q.boolean([t("the")], [Q.Term("lang", "of")])
+    marked = H.highlight(i, q, Searcher(i).hits(q, scoring=False), "text", 100, field_match=False, builder="single", encoder="html", pre=("<i>", "<u>"), post=("</i>", "</u>"))
+    return marked.select("doc_id", F.element_at("fragments", 1).alias("marked"))
+
+
 @query
 def highlight_best(spark, sf_dir):
     """One fragment of most weight."""

@@ -234,15 +234,37 @@ class StoredIndex:
         """The index without the documents that match, and with new ones."""
         return self.delete(query).append(docs)
 
-    def merge(self, partitions: int | None = None) -> StoredIndex:
-        """The index as one segment of its live documents. Postings are merged as they are; no text is read again."""
-        name = f"segment-{uuid.uuid4().hex[:12]}"
-        self.docs.write.parquet(f"{self.path}/{name}/docs")
-        self._live("lengths").write.parquet(f"{self.path}/{name}/lengths")
-        kept = self.postings().persist(StorageLevel.DISK_ONLY)
+    def merge(self, partitions: int | None = None, only: Sequence[str] | None = None) -> StoredIndex:
+        """The index with one segment in place of all, or of the named ones, of their live documents. Postings are merged
+        as they are; no text is read again."""
+        some = {s: d for s, d in self.segments.items() if only is None or s in only}
+        part, name = StoredIndex._of(self, some), f"segment-{uuid.uuid4().hex[:12]}"
+        part.docs.write.parquet(f"{self.path}/{name}/docs")
+        part._live("lengths").write.parquet(f"{self.path}/{name}/lengths")
+        kept = part.postings().persist(StorageLevel.DISK_ONLY)
         self._write_postings(kept, f"{self.path}/{name}", partitions)
         kept.unpersist()
-        return self._publish(self.spark, self.path, self.id_col, self.schema, {name: []})
+        rest = {s: d for s, d in self.segments.items() if s not in some}
+        return self._publish(self.spark, self.path, self.id_col, self.schema, rest | {name: []})
+
+    @classmethod
+    def _of(cls, index: StoredIndex, segments: dict[str, list[str]]) -> StoredIndex:
+        """An index of some segments of another, for reading."""
+        part = cls(index.spark, index.path, index.id_col, index.schema, index.version)
+        part.segments = segments
+        return part
+
+    def sizes(self) -> dict[str, int]:
+        """Bytes of each segment."""
+        return {s: snapshots.size(self.spark, f"{self.path}/{s}") for s in self.segments}
+
+    def live_shares(self) -> dict[str, float]:
+        """The share of each segment's documents that are not deleted."""
+        out = {}
+        for s, deletes in self.segments.items():
+            total = self.spark.read.parquet(f"{self.path}/{s}/docs").count()
+            out[s] = StoredIndex._of(self, {s: deletes}).docs.count() / max(1, total) if deletes else 1.0
+        return out
 
     def _live(self, part: str, id_col: str = "doc_id") -> DataFrame:
         """A part of all segments, without rows of deleted documents."""

@@ -55,6 +55,12 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
     return old
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes under a path."""
+    fs, p = _files(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def new_folder(spark: SparkSession) -> str:
     """The name of a new folder that driver and executors share: under spark.checkpoint.dir, or, in local mode only, a
     temporary one."""

@@ -158,3 +158,6 @@ def test_merges_are_planned_by_size():
     groups = plan_merges(small)
     assert groups and all(2 <= len(g) <= 10 for g in groups)
     assert plan_merges({"a": 6 << 30, "b": 1 << 20}) == []
+    halved = {f"s{k}": 100 << 20 for k in range(12)}
+    first = plan_merges(halved, at_once=2, per_tier=1, live={"s7": 0.2, "s3": 0.2})[0]
+    assert set(first) == {"s3", "s7"}  # what reclaims most
