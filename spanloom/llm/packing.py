@@ -3,8 +3,9 @@
 Documents become token ids with an end id; longer ones are cut into full sequences, the first piece taking what does
 not fill one. Best fit decreasing then runs over the counts of each length, not over documents: bins of equal
 history are one entry with a count, so the plan has a few thousand entries whatever the input. Pieces take the
-planned slots by their rank within their length, and ranks come from counts by (length, chunk of ids), so that
-neither a long text nor a common length gathers in one task.
+planned slots by their rank within their length, and ranks come from counts by (length, task that cut them), so that
+neither a long text nor a common length gathers in one task, and pieces are neither sorted nor, unless there are many
+tasks, shuffled.
 
 Cases: a null or empty text is the end id alone. Repeated rows (equal ids) are packed each. Null ids are packed as
 any other. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -22,16 +23,15 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import held, settle
+from spanloom.llm.common import BROADCAST_ROWS, held, settle
 
 CAPACITY, END = 1024, 2
 #: Units of text whose ids a worker remembers; further ones are encoded anew each time.
 REMEMBERED = 200_000
-#: Rows of one chunk of ids at most, about; there are 64 chunks at least.
-CHUNK_ROWS = 1 << 16
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 #: Where cutting a text at its spaces could part what the tokenizer takes together: white space beside white space or
@@ -88,21 +88,25 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def cut_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32."""
+    """One row per piece: id, piece, start, length, ids_crc32, part (the task that cut it) and nth (its place among the
+    task's pieces of its length). Another run may number them otherwise, so that they hold once settled."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = held(Encoder, tokenizer, ranks), array("I", [end]).tobytes()
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for id_, text in zip(batch.column(0), batch.column(1)):
                 ids = known.encode(text.as_py() or "") + last
                 for k, (start, n) in enumerate(cuts(len(ids) // 4, capacity)):
-                    for column, value in zip(out, (id_, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]))):
+                    for column, value in zip(out, (id_, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), seen[n])):
                         column.append(value.as_py() if column is out[0] else value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "piece", "start", "length", "ids_crc32"])
+                    seen[n] += 1
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            arrays = [*(pa.array(c, t) for c, t in zip(out, types)), pa.array([part] * len(out[0]), pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "piece", "start", "length", "ids_crc32", "nth", "part"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"{PIECES}, nth long, part int")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -150,16 +154,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def ranked(pieces: DataFrame, n: int) -> DataFrame:
-    """pieces with rank: from 0 within a length, by chunk of ids, then id. pieces must be settled."""
-    chunks = max(64, -(-n // CHUNK_ROWS))
-    chunk = F.pmod(F.xxhash64("id", "piece"), F.lit(chunks)).cast("int")
-    dealt = pieces.withColumn("chunk", chunk)
-    counts = dealt.groupBy("length", "chunk").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    starts = counts.select("length", "chunk", before.alias("before"))
-    local = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("id", "piece", "ids_crc32")) - 1
-    return dealt.withColumn("local", local).join(starts, ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("local")).drop("chunk", "local", "before")
+def ranked(pieces: DataFrame, lengths: int) -> DataFrame:
+    """pieces with rank: from 0 within a length, by part, then by place within it. pieces must be settled; lengths: how
+    many they have."""
+    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    starts = counts.select("length", "part", before.alias("before"))
+    if lengths * pieces.rdd.getNumPartitions() <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
+    return pieces.join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth")).drop("part", "nth", "before")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -181,5 +184,5 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             columns += [pa.array(slot[:, 4] + nth % slot[:, 3]), pa.array(slot[:, 5] + nth // slot[:, 3] * length)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    packed = ranked(pieces, sum(histogram.values())).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    packed = ranked(pieces, len(histogram)).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

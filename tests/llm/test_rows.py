@@ -119,6 +119,16 @@ def test_packs_odd(odd, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_pieces_are_ranked_without_sorting_them(spark, documents, monkeypatch):
+    rows = documents.limit(300).repartition(7)
+    expected = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    packed = packing.pack(rows)
+    assert not re.search(r"(Window|Sort|Exchange).*ids_crc32", packed._jdf.queryExecution().toString())
+    few = check_packs(expected, packed.collect())
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)  # as with many tasks
+    assert check_packs(expected, packing.pack(rows).collect()) == few
+
+
 @given(st.lists(st.sampled_from([" ", "\n", "\t", "\r", "\x1c", " ", " ", "a", "b's", "É", "12", "!?", "'ll", "<|endoftext|>", "中", "́"]), max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_units_do_not_change_ids(parts):
