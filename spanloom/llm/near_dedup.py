@@ -228,10 +228,13 @@ def families(nodes: DataFrame, threshold: float) -> DataFrame:
                 found = []
         yield made()
 
-    banded = settle(nodes.select("node", "registers").mapInArrow(band, "band long, node binary"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
+    # Bands are made twice, so that those that are alone are neither stored nor shuffled but for their hash.
+    banded = nodes.select("node", "registers").mapInArrow(band, "band long, node binary")
+    often = settle(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band"))
+    met = settle(maybe_in(banded, "band", often, "band", "maybe").where("maybe").drop("maybe"))
+    shared = met.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1")
     sized = settle(shared.select("band", F.ceil(F.col("members") / BLOCK_NODES).alias("blocks"), F.lit(1 / BLOCK_NODES).alias("rate"), "pivot"))
-    nodes_of = lambda some: banded.join(some, "band")
+    nodes_of = lambda some: met.join(some, "band")
     return compared(lambda some: nodes_of(some).join(nodes, "node"), nodes_of, sized, "band", ["node", "n", "registers"], compare)
 
 

@@ -175,6 +175,21 @@ def test_large_groups_take_rows_in_proportion(spark, monkeypatch):
     assert max(confirming) < 3 * len(rows)  # pairs of all blocks would be 10 rows for each
 
 
+def test_lone_bands_are_not_kept(spark, monkeypatch):
+    draw, kept, settle = random.Random(3), [], near_dedup.settle
+
+    def counted(df):
+        out = settle(df)
+        kept.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "settle", counted)
+    texts = [" ".join(str(draw.randrange(10**6)) for _ in range(30)) for _ in range(50)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate([*texts, texts[7] + " x"])), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out if not r["kept"]} == {50}
+    assert sum(n for columns, n in kept if {"band", "node"} <= columns) <= 3 * near_dedup.BANDS
+
+
 def test_estimates_follow_similarity():
     draw = np.random.default_rng(3)
     for both, own, other in ((800, 100, 100), (500, 250, 250), (450, 50, 500), (60, 8, 7)):
