@@ -78,10 +78,21 @@ def settle(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As `settle`, but by a written table, for loops: a checkpoint hands on its plan's estimated size, and where settled
     tables are joined in each round, the digits of that number double until planning takes all the time."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As `stored`, with the folder, for `forget`."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/spanloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Frees the disk of a stored table that no plan reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -17,6 +17,7 @@ string common to its windows is alone (none is). Of a settled bucket one suffix
 There are two scales: strings of LENGTH bytes that start at another place, which are removed, and passages of PASSAGE
 words in another row, which are counted (`n_shared_words`), as most of so many words are shorter than LENGTH bytes.
 
+What is stored a row an anchor, suffix or block is stored by column, which takes less disk than checkpoints of rows.
 No text is gathered by key: buckets are partial aggregates, and what adaptive joins split has settled sides. Texts with
 open suffixes are found by a Bloom filter of bounded size and read again. A false match needs two equal 64-bit names of
 different strings in buckets of one q-gram.
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.bloom import maybe_in
-from spanloom.llm.common import let_go, settle
+from spanloom.llm.common import forget, let_go, settle, stored, stored_at
 from spanloom.llm.shingles import paired, pieces, word_hashes, word_places
 
 LENGTH, PASSAGE = 400, 51
@@ -300,10 +301,11 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     who = [F.min("who").alias("lo"), F.max("who").alias("hi")]
     first = "gram long, who long"
     grams = settle(long_enough.mapInArrow(_list(first), first).groupBy("gram").agg(*who).where("lo <> hi").select("gram"))
-    listed = settle(maybe_in(long_enough.mapInArrow(_list(LISTED), LISTED), "gram", grams, "gram", "maybe").where("maybe").drop("maybe"))
+    listed, listed_at = stored_at(maybe_in(long_enough.mapInArrow(_list(LISTED), LISTED), "gram", grams, "gram", "maybe").where("maybe").drop("maybe"))
     pointer = ["gram", "span", "low", "high"]
     twice = settle(listed.groupBy(*pointer).agg(*who, F.min(F.struct(*ROW, "place")).alias("one"), F.min("kind").alias("kind")).where("lo <> hi"))
-    judged = settle(listed.join(twice.select(*pointer, F.lit(True).alias("whole")), pointer, "left"))
+    judged = stored(listed.join(twice.select(*pointer, F.lit(True).alias("whole")), pointer, "left"))
+    forget(df.sparkSession, listed_at)
     length = F.when(F.col("kind") == BYTES, SCALES[BYTES].length).otherwise(SCALES[WORDS].length)
     found = judged.where("whole").select("kind", *ROW, (F.col("place") + F.col("low")).alias("begin"), (F.col("place") + F.col("high") + length).alias("end"))
 
@@ -313,14 +315,15 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = settle(going.groupBy(*ROW).agg(F.collect_set(F.struct(*SUFFIX)).alias("parts")).withColumn("name", row_name()))
     texts = maybe_in(rows.withColumn("name", row_name()), "name", parts, "name", "maybe").where("maybe").select("name", "text")
     contexts = texts.join(parts, "name").select(*ROW, "text", "parts").mapInArrow(_contexts, "id long, check long, kind byte, place long, low short, high short, gram long, lo long, hi long, around binary")
-    around = settle(contexts.withColumn("suffix", F.monotonically_increasing_id()))
+    around = stored(contexts.withColumn("suffix", F.monotonically_increasing_id()))
     inner = []
     least = [F.lit(-s.reach // s.blocks[0]) for s in SCALES]
     every = F.sequence(F.when(F.col("kind") == BYTES, least[BYTES]).otherwise(least[WORDS]), F.lit(0))
     asked = around.withColumn("open", F.transform(every, lambda b: F.struct(b.alias("block"), F.col("lo").alias("lo"), F.col("hi").alias("hi"))))
     for level in range(LEVELS):
-        made = settle(asked.select("suffix", "kind", "low", "high", "gram", "around", "open").mapInArrow(_blocks(level), "suffix long, gram long, lo long, hi long, block int, first short, last short, common long, span long"))
+        made, made_at = stored_at(asked.select("suffix", "kind", "low", "high", "gram", "around", "open").mapInArrow(_blocks(level), "suffix long, gram long, lo long, hi long, block int, first short, last short, common long, span long"))
         whole, opened = _settled(made, level == LEVELS - 1)
+        forget(df.sparkSession, made_at)
         inner.append(whole)
         if opened is not None:
             grouped = settle(opened.groupBy("suffix").agg(F.collect_set(F.struct("block", "lo", "hi")).alias("open")))

@@ -1,6 +1,7 @@
 """Repeated strings and near duplicates against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -128,6 +129,15 @@ def brute_near(rows, width=4, percent=80):
     return Counter((i, len(sets[n]), names[find(n)], i == names[find(n)]) for n, (i, _) in enumerate(rows))
 
 
+def test_listed_anchors_are_freed(spark, monkeypatch):
+    freed, forget = [], repeats.forget
+    monkeypatch.setattr(repeats, "forget", lambda session, path: (freed.append((path, session.read.parquet(path).columns)), forget(session, path)))
+    rows = planted(1)
+    assert Counter(tuple(r) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_repeats(rows)
+    assert ["who" in columns for _, columns in freed] == [True] + [False] * repeats.LEVELS
+    assert not any(os.path.exists(path.removeprefix("file:")) for path, _ in freed)
+
+
 def test_near_copies_of_tables(documents, odd, nothing):
     for df in (documents, odd):
         out = near_dedup.near_duplicates(df, width=4)
