@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,12 @@ SPACE = r"(?U)\s+"
 #: Runs of anything but the characters with Unicode's White_Space property (fixed values), as SPACE has it.
 TOKEN = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
+#: What those characters are in UTF-8, and which single bytes are one.
+SPACES = [chr(c).encode() for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+SPACE_BYTES = np.isin(np.arange(256), [s[0] for s in SPACES if len(s) == 1])
+#: What a vectorised function takes at a time, so that what it makes stays small, however much comes in a batch.
+SLICE_TOKENS, SLICE_BYTES, SLICE_ROWS = 1 << 18, 1 << 20, 1 << 14
+
 
 def _cut(token: Column) -> Column:
     """A token as the array of its parts of MAX_TOKEN_BYTES bytes or just above, by whole characters."""
@@ -66,18 +74,28 @@ def _parts(token: str) -> list[str]:
     return out
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("pos", "start", "end"))])))
-def offsets(text: pa.Array) -> pa.Array:
-    """Tokens with places: array of (term, pos, start, end), offsets in characters, end exclusive; null text has none.
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of `most` units at most, or of one row."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    a, n = 0, len(sizes)
+    while a < n:
+        b = min(max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1), a + SLICE_ROWS, n)
+        yield a, b
+        a = b
 
-    A running place needs an accumulated array in column expressions, which is copied for each token; here it takes
-    time in proportion to the text.
-    """
+
+def _lists(edges: np.ndarray, **columns: pa.Array) -> pa.Array:
+    rows = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows)
+
+
+def _offsets_by_row(texts: pa.Array) -> pa.Array:
+    """`offsets` of texts of which some have tokens to be cut."""
     terms: list[str] = []
     places: list[int] = []
     starts: list[int] = []
     edges = [0]
-    for value in text.to_pylist():
+    for value in texts.to_pylist():
         first = len(terms)
         for found in TOKEN.finditer(value or ""):
             start = found.start()
@@ -87,32 +105,75 @@ def offsets(text: pa.Array) -> pa.Array:
                 starts.append(start)
                 start += len(part)
         edges.append(len(terms))
-    begin = pa.array(starts, pa.int32())
-    end = pa.array([s + len(t) for s, t in zip(starts, terms)], pa.int32())
-    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(places, pa.int32()), begin, end], ["term", "pos", "start", "end"])
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows)
+    ends = [s + len(t) for s, t in zip(starts, terms)]
+    return _lists(np.array(edges), term=pa.array(terms, pa.string()), pos=pa.array(places, pa.int32()), start=pa.array(starts, pa.int32()), end=pa.array(ends, pa.int32()))
+
+
+def _offsets(texts: pa.Array) -> pa.Array:
+    """`offsets` on the bytes of all texts at once."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(pa.concat_arrays([pc.fill_null(texts, "")]).buffers()[2] or b"", "uint8")[: begins[-1]] if begins[-1] else np.zeros(0, "uint8")
+    space = SPACE_BYTES[data]
+    for code in SPACES:  # those of two and three bytes
+        if len(code) > 1 and len(data) >= len(code):
+            at = np.flatnonzero(data[: len(data) - len(code) + 1] == code[0])
+            for k, byte in enumerate(code[1:], 1):
+                at = at[data[at + k] == byte]
+            for k in range(len(code)):
+                space[at + k] = True
+    word = ~space
+    edge = np.zeros(len(data) + 1, bool)  # where a text begins, no token goes on
+    edge[begins] = True
+    first = np.flatnonzero(word & (np.concatenate([[True], space[:-1]]) | edge[:-1])) if len(data) else np.zeros(0, "int64")
+    last = np.flatnonzero(word & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1 if len(data) else first
+    if len(first) and (last - first).max() >= MAX_TOKEN_BYTES:
+        return _offsets_by_row(texts)
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    edges = np.searchsorted(first, begins)
+    row = np.repeat(np.arange(len(sizes)), np.diff(edges))
+    base = chars[begins[row]]
+    terms = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.concatenate([[0], np.cumsum(last - first)]).astype("int32")), pa.py_buffer(data[word]))
+    places = np.arange(len(first)) - edges[row]
+    return _lists(edges, term=terms, **{k: pa.array(v, pa.int32()) for k, v in (("pos", places), ("start", chars[first] - base), ("end", chars[last] - base))})
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("pos", "start", "end"))])))
+def offsets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Tokens with places: array of (term, pos, start, end), offsets in characters, end exclusive; null text has none.
+
+    A running place needs an accumulated array in column expressions, which is copied for each token; here it takes
+    time in proportion to the text, and memory in proportion to a slice of it.
+    """
+    for texts in batches:
+        for a, b in _slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), SLICE_BYTES):
+            yield _offsets(texts.slice(a, b - a))
+
+
+def _inverted(tokens: pa.Array) -> pa.Array:
+    """`inverted` by one sort of (row, term, position), each packed into a number."""
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype("int64")
+    coded = tokens.flatten().dictionary_encode(null_encoding="encode")
+    if not len(coded):
+        return _lists(np.zeros(len(sizes) + 1, "int64"), term=pa.array([], pa.string()), tf=pa.array([], pa.int32()), positions=pa.array([], pa.list_(pa.int32())))
+    begins = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    of_place, of_term = (int(x).bit_length() for x in (sizes.max(), len(coded.dictionary)))
+    packed = ((row << of_term | coded.indices.to_numpy()) << of_place) | (np.arange(len(coded)) - begins[row])
+    packed.sort()
+    group = packed >> of_place
+    first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+    group, until = group[first], np.concatenate([first, [len(coded)]])
+    positions = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(packed & ((1 << of_place) - 1), pa.int32()))
+    terms = coded.dictionary.take(pa.array(group & ((1 << of_term) - 1))).cast(pa.string())
+    edges = np.concatenate([[0], np.cumsum(np.bincount(group >> of_term, minlength=len(sizes)))])
+    return _lists(edges, term=terms, tf=pa.array(np.diff(until), pa.int32()), positions=positions)
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])))
-def inverted(tokens: pa.Array) -> pa.Array:
-    """A document's terms with their frequency and positions, in order of first occurrence. All of a document's tokens
-    are in its row, so postings need no shuffle to be made."""
-    terms: list[str] = []
-    counts: list[int] = []
-    places: list[int] = []
-    edges = [0]
-    for own in tokens.to_pylist():
-        at: dict[str, list[int]] = {}
-        for k, term in enumerate(own or ()):
-            if term in at:
-                at[term].append(k)
-            else:
-                at[term] = [k]
-        terms += at
-        for held in at.values():
-            counts.append(len(held))
-            places += held
-        edges.append(len(terms))
-    positions = pa.ListArray.from_arrays(pa.array(list(accumulate(counts, initial=0)), pa.int32()), pa.array(places, pa.int32()))
-    rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32()), positions], ["term", "tf", "positions"])
-    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), rows)
+def inverted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A document's terms, in no particular order, with their frequency and positions. All of a document's tokens are in
+    its row, so postings need no shuffle to be made; memory is that of a batch as it comes and of a slice's postings."""
+    for tokens in batches:
+        for a, b in _slices(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False), SLICE_TOKENS):
+            yield _inverted(tokens.slice(a, b - a))

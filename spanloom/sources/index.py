@@ -11,7 +11,6 @@ import uuid
 from collections.abc import Sequence
 from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,18 +148,14 @@ class TableIndex:
 
     def postings(self, names: Sequence[str] | None = None) -> DataFrame:
         """field, term, doc_id, tf, positions, len: the inverted index of the named fields, made row by row."""
-        return self.inversion(names).drop("first")
-
-    def inversion(self, names: Sequence[str] | None = None) -> DataFrame:
-        """postings, and `first`: whether a row is its document's first of the field."""
         names = list(names or [f.name for f in self.schema.fields if f.index_options])
         parts = []
         for n in names:
             kind = self.docs.schema[n].dataType
             whole = not self.specs[n].tokenized and not isinstance(kind, T.ArrayType)
             own = F.transform(f"__t_{n}", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.array(F.lit(0)).alias("positions"))) if whole else analysis.inverted(f"__t_{n}")
-            rows = self._tokens(self.docs, [n]).select(F.col(self.id_col).alias("doc_id"), F.size(f"__t_{n}").alias("len"), F.posexplode(own).alias("nth", "x"))
-            parts.append(rows.select(F.lit(n).alias("field"), "x.term", "doc_id", "x.tf", "x.positions", "len", (F.col("nth") == 0).alias("first")))
+            rows = self._tokens(self.docs, [n]).select(F.col(self.id_col).alias("doc_id"), F.size(f"__t_{n}").alias("len"), F.explode(own).alias("x"))
+            parts.append(rows.select(F.lit(n).alias("field"), "x.term", "doc_id", "x.tf", "x.positions", "len"))
         return reduce(DataFrame.unionByName, parts)
 
     def lengths(self, name: str) -> DataFrame:
@@ -199,24 +194,29 @@ class StoredIndex:
 
     @staticmethod
     def _segment(source: TableIndex, path: str, partitions: int | None = None) -> str:
-        """Writes documents and their postings: one pass over the texts, one shuffle."""
+        """Writes documents and their postings: texts are inverted once to find ranges and once to fill them, which takes
+        less than to keep postings in between; one shuffle."""
         name = f"segment-{uuid.uuid4().hex[:12]}"
         spark = source.docs.sparkSession
         source.docs.write.parquet(f"{path}/{name}/docs")
         kept = TableIndex(spark.read.schema(source.docs.schema).parquet(f"{path}/{name}/docs"), source.id_col, source.schema.fields)
-        postings = kept.inversion().persist(StorageLevel.DISK_ONLY)
-        postings.where("first").select("field", "doc_id", "len").write.parquet(f"{path}/{name}/lengths")
-        StoredIndex._write_postings(postings.drop("first"), f"{path}/{name}", partitions)
-        postings.unpersist()
+        fields = [f.name for f in source.schema.fields if f.index_options]
+        lengths = [kept.lengths(n).select(F.lit(n).alias("field"), "doc_id", "len") for n in fields]
+        reduce(DataFrame.unionByName, lengths).write.parquet(f"{path}/{name}/lengths")
+        StoredIndex._write_postings({n: kept.postings([n]) for n in fields}, f"{path}/{name}", partitions)
         return name
 
     @staticmethod
-    def _write_postings(postings: DataFrame, path: str, partitions: int | None) -> None:
-        """Ranges go by (field, term, id), so a common term spreads. postings are kept, as they are read twice."""
-        n = partitions or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        postings.repartitionByRange(n, "field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.partitionBy("field").parquet(f"{path}/postings")
-        terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-        terms.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
+    def _write_postings(postings: dict[str, DataFrame], path: str, partitions: int | None) -> None:
+        """Ranges of a field go by (term, id), so a common term spreads; sorting begins with the term, of which the first
+        bytes are compared as a number. The dictionary is counted from what was written."""
+        spark = next(iter(postings.values())).sparkSession
+        n = [] if partitions is None else [partitions]
+        for name, own in postings.items():
+            folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("field", name)
+            own.drop("field").repartitionByRange(*n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings/{folder}")
+        terms = spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+        terms.repartitionByRange(*n, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/terms")
 
     def append(self, docs: DataFrame, partitions: int | None = None) -> StoredIndex:
         """The index with more documents, in a segment of their own."""
@@ -241,9 +241,7 @@ class StoredIndex:
         part, name = StoredIndex._of(self, some), f"segment-{uuid.uuid4().hex[:12]}"
         part.docs.write.parquet(f"{self.path}/{name}/docs")
         part._live("lengths").write.parquet(f"{self.path}/{name}/lengths")
-        kept = part.postings().persist(StorageLevel.DISK_ONLY)
-        self._write_postings(kept, f"{self.path}/{name}", partitions)
-        kept.unpersist()
+        self._write_postings({f.name: part.postings([f.name]) for f in self.schema.fields if f.index_options}, f"{self.path}/{name}", partitions)
         rest = {s: d for s, d in self.segments.items() if s not in some}
         return self._publish(self.spark, self.path, self.id_col, self.schema, rest | {name: []})
 
