@@ -56,9 +56,11 @@ def whole(value: Column) -> Column:
 
 
 def words(values: Column) -> Column:
-    """Terms of pre-segmented words (value, begin, length): distinct, by begin then length, cut to MAX_WORD_CHARS."""
-    ordered = F.array_sort(F.transform(values, lambda w: F.struct(w["begin"].alias("begin"), w["length"].alias("length"), w["value"].alias("value"))))
-    return F.transform(F.array_distinct(ordered), lambda w: F.substring(w["value"], 1, MAX_WORD_CHARS))
+    """Terms of pre-segmented words (value, begin, length): distinct, by begin then length, cut to MAX_WORD_CHARS. Equal
+    words are neighbours once sorted, so each is compared with the one before it, not with all."""
+    ordered = F.sort_array(F.transform(values, lambda w: F.struct(w["begin"].alias("begin"), w["length"].alias("length"), w["value"].alias("value"))))
+    distinct = F.transform(F.array(ordered), lambda all_: F.filter(all_, lambda w, k: (k == 0) | (w != F.get(all_, k - 1))))[0]
+    return F.transform(distinct, lambda w: F.substring(w["value"], 1, MAX_WORD_CHARS))
 
 
 def _parts(token: str) -> list[str]:

@@ -1,9 +1,11 @@
 """What keeps time and memory in bounds on large tables."""
 
 import random
+import time
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.functions import analysis
 from spanloom.plans import query as Q
@@ -45,3 +47,13 @@ def test_inversion_takes_slices():
             assert {x["term"]: x["positions"] for x in got} == want
             assert all(x["tf"] == len(x["positions"]) for x in got) and len(got) == len(want)
         at += len(piece)
+
+
+def test_words_of_a_long_text(spark):
+    """Each word is compared with its neighbour: 60,000 took minutes when each was compared with all."""
+    rows = [(0, [("b", 2, 1), ("a", 0, 1), ("b", 2, 1), ("a", 2, 1), ("x" * 200, 0, 200)]), (1, []), (2, None), (3, [("c", 0, 1), ("c", 0, 1)])]
+    words = spark.createDataFrame(rows, "id int, w array<struct<value:string,begin:int,length:int>>").select("id", analysis.words(F.col("w")).alias("t"))
+    assert {r["id"]: r["t"] for r in words.collect()} == {0: ["a", "x" * 128, "a", "b"], 1: [], 2: None, 3: ["c"]}
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda k: F.struct(k.cast("string").alias("value"), k.alias("begin"), F.lit(1).alias("length"))).alias("w"))
+    began = time.time()
+    assert long.select(F.size(analysis.words(F.col("w")))).first()[0] == 60_000 and time.time() - began < 20
