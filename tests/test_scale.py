@@ -57,3 +57,15 @@ def test_words_of_a_long_text(spark):
     long = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda k: F.struct(k.cast("string").alias("value"), k.alias("begin"), F.lit(1).alias("length"))).alias("w"))
     began = time.time()
     assert long.select(F.size(analysis.words(F.col("w")))).first()[0] == 60_000 and time.time() - began < 20
+
+
+def test_offsets_take_slices():
+    """Texts are cut at the places of their bytes, a slice at a time, and as one by one."""
+    draw = random.Random(5)
+    spaces, letters = [s.decode() for s in analysis.SPACES], ["a", "é", "中", "😀", "\x1c", "\u200b", "xyz"]
+    texts = [None, "", " ", "x" * 3000, *("".join(draw.choice(spaces if draw.random() < 0.3 else letters) for _ in range(draw.randrange(60))) for _ in range(2000)), "a b " * (analysis.SLICE_BYTES // 3), "last one"]
+    made = list(analysis.offsets.func(iter([pa.array(texts, pa.string())])))
+    assert len(made) > 2 and [x for m in made for x in m.to_pylist()] == analysis._offsets_by_row(pa.array(texts, pa.string())).to_pylist()
+    assert max(len(m.values) for m in made) < analysis.SLICE_BYTES
+    sliced = pa.array(texts, pa.string()).slice(5, 900)
+    assert analysis._offsets(sliced).to_pylist() == analysis._offsets_by_row(sliced).to_pylist()
