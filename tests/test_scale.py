@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import analysis
+from spanloom.operators import highlight as H
 from spanloom.plans import query as Q
 from spanloom.schema import keyword, text
 from spanloom.sources.index import StoredIndex, TableIndex
@@ -69,3 +70,17 @@ def test_offsets_take_slices():
     assert max(len(m.values) for m in made) < analysis.SLICE_BYTES
     sliced = pa.array(texts, pa.string()).slice(5, 900)
     assert analysis._offsets(sliced).to_pylist() == analysis._offsets_by_row(sliced).to_pylist()
+
+
+def test_highlights_are_made_in_slices(spark, monkeypatch):
+    """A batch of texts is marked and given back a slice at a time."""
+    made = []
+    monkeypatch.setattr(H.F, "arrow_udf", lambda kind: lambda f: made.append(f) or F.pandas_udf(lambda x: x["0"], "string"), raising=False)
+    docs = spark.createDataFrame([(0, "the cat")], "doc_id long, body string")
+    index = TableIndex(docs, "doc_id", ["body"])
+    H.highlight(index, Q.Term("body", "the"), docs.select("doc_id"), "body", builder="single")
+    texts = [None, "the end", *["of the " + "x " * 5000] * 1000]
+    batch = pa.StructArray.from_arrays([pa.array(texts, pa.string())], ["0"])
+    pieces = list(made[0](iter([batch])))
+    assert len(pieces) > 5 and sum(map(len, pieces)) == len(texts) and max(p.nbytes for p in pieces) < 4 * analysis.SLICE_BYTES
+    assert [x for p in pieces for x in p.to_pylist()][:3] == [[], ["<b>the</b> end"], ["of <b>the</b> " + "x " * 5000]]
