@@ -7,6 +7,7 @@ new one. A delete or an update reaches documents added before it only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from spanloom.plans.query import Query, Term, boolean
 from spanloom.schema import FieldSpec
 from spanloom.sources.index import Searcher, StoredIndex, TableIndex
-from spanloom.sources.snapshots import current, exists, publish, read, vacuum
+from spanloom.sources.snapshots import current, exists, in_files, publish, read, remove, vacuum
 
 FieldTerm = tuple[str, str]
 
@@ -201,13 +202,24 @@ class IndexWriter:
         docs = self.documents()
         version = self.version + 1
         if docs is not None:
-            (docs.repartition(segments) if segments else docs).write.mode("overwrite").parquet(f"{self.path}/snapshot-{version}")
+            self._write(docs, f"{self.path}/snapshot-{version}", segments)
             publish(self.spark, self.path, version)
             self.version = self._base = version
             vacuum(self.spark, self.path, self.keep)
         self._changes = []
         return self.version
 
+    def _write(self, docs: DataFrame, path: str, segments: int | None) -> None:
+        """Writes documents, in so many files if that is asked: by as many tasks as there are, and then joined."""
+        if not segments:
+            docs.write.mode("overwrite").parquet(path)
+            return
+        aside = f"{self.path}/.{uuid.uuid4().hex}"
+        docs.write.parquet(aside)
+        if not in_files(self.spark, aside, path, segments):
+            self.spark.read.schema(docs.schema).parquet(aside).repartition(segments).write.mode("overwrite").parquet(path)
+        remove(self.spark, aside)
+
     def force_merge(self, segments: int) -> int:
         """Publishes the documents in so many files."""
         self._add(lambda old: old)

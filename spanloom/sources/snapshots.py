@@ -50,11 +50,44 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
     old = _versions(spark, path)[: -max(1, keep)]
     for v in old:
         for name in (f"{path}/current-{v}", f"{path}/snapshot-{v}"):
-            fs, p = _files(spark, name)
-            fs.delete(p, True)
+            remove(spark, name)
     return old
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
+def in_files(spark: SparkSession, source: str, target: str, n: int) -> bool:
+    """Makes n Parquet files under target of those that one write left under source, alike in size; False if there are
+    fewer. Row groups are copied as they are, through a small buffer: no task reads what goes into a file, and readers
+    still share a file's row groups."""
+    parquet, conf = spark._jvm.org.apache.parquet, spark._jsc.hadoopConfiguration()
+    fs, p = _files(spark, source)
+    found = sorted(((s.getLen(), s.getPath().getName(), s.getPath()) for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet")), key=lambda x: (-x[0], x[1]))
+    if len(found) < n:
+        return False
+    groups: list[list] = [[] for _ in range(n)]
+    sizes = [0] * n
+    for length, _, file in found:
+        k = sizes.index(min(sizes))
+        sizes[k] += length + 1
+        groups[k].append(parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+    fs.delete(_files(spark, target)[1], True)
+    for k, files in enumerate(groups):
+        reader = parquet.hadoop.ParquetFileReader.open(files[0])
+        head = reader.getFileMetaData()
+        reader.close()
+        out = parquet.hadoop.util.HadoopOutputFile.fromPath(_files(spark, f"{target}/part-{k:05d}-{uuid.uuid4().hex}.parquet")[1], conf)
+        writer = parquet.hadoop.ParquetFileWriter(out, head.getSchema(), parquet.hadoop.ParquetFileWriter.Mode.CREATE, 128 << 20, 8 << 20)
+        writer.start()
+        for file in files:
+            writer.appendFile(file)
+        writer.end(head.getKeyValueMetaData())
+    return True
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes under a path."""
     fs, p = _files(spark, path)

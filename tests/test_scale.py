@@ -1,16 +1,20 @@
 """What keeps time and memory in bounds on large tables."""
 
+import os
 import random
 import time
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import analysis
 from spanloom.operators import highlight as H
+from spanloom.operators import mutation as M
 from spanloom.plans import query as Q
 from spanloom.schema import keyword, text
+from spanloom.sources import snapshots
 from spanloom.sources.index import StoredIndex, TableIndex
 
 
@@ -84,3 +88,20 @@ def test_highlights_are_made_in_slices(spark, monkeypatch):
     pieces = list(made[0](iter([batch])))
     assert len(pieces) > 5 and sum(map(len, pieces)) == len(texts) and max(p.nbytes for p in pieces) < 4 * analysis.SLICE_BYTES
     assert [x for p in pieces for x in p.to_pylist()][:3] == [[], ["<b>the</b> end"], ["of <b>the</b> " + "x " * 5000]]
+
+
+def test_files_are_joined_by_row_group(spark, tmp_path):
+    """What many tasks wrote goes into few files as it is; no single task reads it all."""
+    path = str(tmp_path / "w")
+    w = M.IndexWriter(spark, path, "doc_id", ["body"])
+    w.add_documents(spark.range(0, 400, 1, 5).selectExpr("id AS doc_id", "concat('a ', id) AS body", "id % 7 AS n"))
+    w.commit()
+    for files in (2, 1, 7):
+        w.force_merge(files)
+        docs = snapshots.read(spark, path)
+        left = [f for f in os.listdir(f"{path}/snapshot-{w.version}") if f.endswith(".parquet")]
+        assert len(left) == files == len(docs.inputFiles()) and [f for f in os.listdir(path) if f.startswith(".") and not f.endswith(".crc")] == []
+        if files < 7:
+            assert sum(pq.ParquetFile(f"{path}/snapshot-{w.version}/{f}").metadata.num_row_groups for f in left) > files
+        assert sorted(map(tuple, docs.collect())) == [(k, f"a {k}", k % 7) for k in range(400)]
+        assert sorted(r["doc_id"] for r in docs.where("doc_id between 100 and 102").collect()) == [100, 101, 102]
