@@ -16,11 +16,11 @@ def term_stats(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
 
 
-def dictionary_stats(postings: DataFrame) -> DataFrame:
-    """Per field: size, sum_ttf, sum_df, doc_count, min_term, max_term."""
-    per_term = term_stats(postings).groupBy("field").agg(F.count("*").alias("size"), F.sum("ttf").alias("sum_ttf"), F.sum("df").alias("sum_df"), F.min("term").alias("min_term"), F.max("term").alias("max_term"))
-    docs = postings.select("field", "doc_id").distinct().groupBy("field").agg(F.count("*").alias("doc_count"))
-    return per_term.join(docs, "field")
+def dictionary_stats(terms: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Per field: size, sum_ttf, sum_df, doc_count, min_term, max_term; from (field, term, df, ttf) and (field, doc_id,
+    len) of the documents that have the field."""
+    per_term = terms.groupBy("field").agg(F.count("*").alias("size"), F.sum("ttf").alias("sum_ttf"), F.sum("df").alias("sum_df"), F.min("term").alias("min_term"), F.max("term").alias("max_term"))
+    return per_term.join(lengths.groupBy("field").agg(F.count("*").alias("doc_count")), "field")
 
 
 def field_stats(lengths: DataFrame, max_doc: Column | int) -> DataFrame:

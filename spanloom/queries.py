@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -261,7 +262,9 @@ def term_dict_stats(spark, sf_dir):
 
 @query
 def dictionary_stats(spark, sf_dir):
-    return D.dictionary_stats(index(spark, sf_dir).postings(["text", "lang", "source"]))
+    i, names = index(spark, sf_dir), ["text", "lang", "source"]
+    lengths = [i.lengths(n).select(F.lit(n).alias("field"), "doc_id", "len") for n in names]
+    return D.dictionary_stats(i.term_counts(names), reduce(DataFrame.unionByName, lengths))
 
 
 @query

@@ -138,13 +138,8 @@ class TableIndex:
         return Frame(self._leaf_frame(leaves, positional, docs), self.docs.schema, leaves, positional, similarity, fields, terms, self.specs)
 
     def term_counts(self, names: Sequence[str] | None = None) -> DataFrame:
-        """field, term, df, ttf: summed by task before they are shuffled, without positions."""
-        names = list(names or [f.name for f in self.schema.fields if f.index_options])
-        parts = []
-        for n in names:
-            each = F.concat(F.transform(f"__t_{n}", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("ttf"))), F.transform(F.array_distinct(f"__t_{n}"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("ttf"))))
-            parts.append(self._tokens(self.docs, [n]).select(F.lit(n).alias("field"), F.inline(each)))
-        return reduce(DataFrame.unionByName, parts).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("ttf").alias("ttf"))
+        """field, term, df, ttf: summed by task before they are shuffled, a row per document and term."""
+        return self.postings(names).groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
 
     def postings(self, names: Sequence[str] | None = None) -> DataFrame:
         """field, term, doc_id, tf, positions, len: the inverted index of the named fields, made row by row."""

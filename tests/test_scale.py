@@ -13,9 +13,11 @@ from spanloom.functions import analysis
 from spanloom.operators import highlight as H
 from spanloom.operators import mutation as M
 from spanloom.plans import query as Q
+from spanloom.queries import QUERIES
 from spanloom.schema import keyword, text
 from spanloom.sources import snapshots
 from spanloom.sources.index import StoredIndex, TableIndex
+from tests.conftest import SF
 
 
 def test_segments_keep_nothing_in_between(spark, tmp_path, monkeypatch):
@@ -105,3 +107,14 @@ def test_files_are_joined_by_row_group(spark, tmp_path):
             assert sum(pq.ParquetFile(f"{path}/snapshot-{w.version}/{f}").metadata.num_row_groups for f in left) > files
         assert sorted(map(tuple, docs.collect())) == [(k, f"a {k}", k % 7) for k in range(400)]
         assert sorted(r["doc_id"] for r in docs.where("doc_id between 100 and 102").collect()) == [100, 101, 102]
+
+
+def test_dictionary_statistics_invert_once(spark):
+    """Documents are counted by their lengths, not by a second inversion and a set of (field, id)."""
+    made = QUERIES["dictionary_stats"](spark, SF)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("inverted(") == 1
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    words = [w for r in docs for w in (r["text"] or "").split()]
+    text_ = next(r for r in made.collect() if r["field"] == "text")
+    assert (text_["size"], text_["sum_ttf"], text_["doc_count"]) == (len(set(words)), len(words), sum(bool((r["text"] or "").split()) for r in docs))
