@@ -22,6 +22,9 @@ from spanloom.plans.spans import rows_on_positions
 from spanloom.sources import snapshots
 from spanloom.schema import FieldSpec, IndexOptions, IndexSchema, text
 
+#: Deleted ids that are sent to all tasks, of some 40 bytes each; more are joined by a shuffle.
+SENT_IDS = 2_000_000
+
 
 class Frame:
     """A query's context on a DataFrame with leaf columns: p<n> positions or f<n> frequencies, l<field> lengths."""
@@ -170,6 +173,7 @@ class StoredIndex:
     def __init__(self, spark: SparkSession, path: str, id_col: str, schema: IndexSchema, version: int | None = None) -> None:
         self.spark, self.path, self.id_col, self.schema = spark, path, id_col, schema
         self.specs = {f.name: f for f in schema.fields}
+        self._counted: dict[tuple[str, ...], bool] = {}
         self.version = snapshots.current(spark, path) if version is None else version
         rows = spark.read.schema("segment string, deletes array<string>").parquet(f"{path}/version-{self.version}").collect()  # a row per segment
         self.segments: dict[str, list[str]] = {r["segment"]: list(r["deletes"]) for r in sorted(rows, key=lambda r: r["segment"])}
@@ -259,6 +263,12 @@ class StoredIndex:
             out[s] = StoredIndex._of(self, {s: deletes}).docs.count() / max(1, total) if deletes else 1.0
         return out
 
+    def _few(self, deletes: tuple[str, ...]) -> bool:
+        """Whether deleted ids are sent to all postings, so that those are not shuffled to meet them; asked once."""
+        if deletes not in self._counted:
+            self._counted[deletes] = self.spark.read.parquet(*[f"{self.path}/{d}" for d in deletes]).count() <= SENT_IDS
+        return self._counted[deletes]
+
     def _live(self, part: str, id_col: str = "doc_id") -> DataFrame:
         """A part of all segments, without rows of deleted documents."""
         groups: dict[tuple[str, ...], list[str]] = {}
@@ -268,7 +278,8 @@ class StoredIndex:
         for deletes, paths in groups.items():
             df = self.spark.read.parquet(*paths) if part != "postings" else reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths])
             if deletes:
-                df = df.join(self.spark.read.parquet(*[f"{self.path}/{d}" for d in deletes]).select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
+                gone = self.spark.read.parquet(*[f"{self.path}/{d}" for d in deletes]).select(F.col("doc_id").alias(id_col)).distinct()
+                df = df.join(F.broadcast(gone) if self._few(deletes) else gone, id_col, "left_anti")
             parts.append(df)
         return reduce(DataFrame.unionByName, parts)
 

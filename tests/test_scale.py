@@ -15,7 +15,7 @@ from spanloom.operators import mutation as M
 from spanloom.plans import query as Q
 from spanloom.queries import QUERIES
 from spanloom.schema import keyword, text
-from spanloom.sources import snapshots
+from spanloom.sources import index, snapshots
 from spanloom.sources.index import StoredIndex, TableIndex
 from tests.conftest import SF
 
@@ -83,8 +83,7 @@ def test_highlights_are_made_in_slices(spark, monkeypatch):
     made = []
     monkeypatch.setattr(H.F, "arrow_udf", lambda kind: lambda f: made.append(f) or F.pandas_udf(lambda x: x["0"], "string"), raising=False)
     docs = spark.createDataFrame([(0, "the cat")], "doc_id long, body string")
-    index = TableIndex(docs, "doc_id", ["body"])
-    H.highlight(index, Q.Term("body", "the"), docs.select("doc_id"), "body", builder="single")
+    H.highlight(TableIndex(docs, "doc_id", ["body"]), Q.Term("body", "the"), docs.select("doc_id"), "body", builder="single")
     texts = [None, "the end", *["of the " + "x " * 5000] * 1000]
     batch = pa.StructArray.from_arrays([pa.array(texts, pa.string())], ["0"])
     pieces = list(made[0](iter([batch])))
@@ -118,3 +117,22 @@ def test_dictionary_statistics_invert_once(spark):
     words = [w for r in docs for w in (r["text"] or "").split()]
     text_ = next(r for r in made.collect() if r["field"] == "text")
     assert (text_["size"], text_["sum_ttf"], text_["doc_count"]) == (len(set(words)), len(words), sum(bool((r["text"] or "").split()) for r in docs))
+
+
+def test_deleted_ids_go_to_the_postings(spark, tmp_path, monkeypatch):
+    """Few deleted ids are sent, whatever the session's threshold is; more are joined by a shuffle. Both leave the same."""
+    docs = spark.createDataFrame([(k, "a b" if k % 3 else "a") for k in range(60)], "doc_id long, body string")
+    less = StoredIndex.write(TableIndex(docs, "doc_id", ["body"]), str(tmp_path / "i")).delete(Q.Term("body", "b"))
+    monkeypatch.setattr(index, "SENT_IDS", 39)
+    many = StoredIndex(spark, less.path, "doc_id", less.schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shuffled = many.postings()
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(index, "SENT_IDS", 40)
+        sent = less.postings()
+        assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, sent.collect())) == sorted(map(str, shuffled.collect())) and sent.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
