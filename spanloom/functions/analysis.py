@@ -111,11 +111,13 @@ def _offsets_by_row(texts: pa.Array) -> pa.Array:
     return _lists(np.array(edges), term=pa.array(terms, pa.string()), pos=pa.array(places, pa.int32()), start=pa.array(starts, pa.int32()), end=pa.array(ends, pa.int32()))
 
 
-def _offsets(texts: pa.Array) -> pa.Array:
-    """`offsets` on the bytes of all texts at once."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+def _placed(texts: pa.Array) -> tuple[np.ndarray, ...] | None:
+    """Of all texts' bytes at once: which belong to tokens, where tokens begin and end, where each text's bytes and
+    tokens begin. None if a token is to be cut."""
+    sizes = _bytes_of(texts)
     begins = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.frombuffer(pa.concat_arrays([pc.fill_null(texts, "")]).buffers()[2] or b"", "uint8")[: begins[-1]] if begins[-1] else np.zeros(0, "uint8")
+    held = pa.concat_arrays([pc.fill_null(texts, "")]).buffers()[2]
+    data = np.frombuffer(held, "uint8")[: begins[-1]] if begins[-1] else np.zeros(0, "uint8")
     space = SPACE_BYTES[data]
     for code in SPACES:  # those of two and three bytes
         if len(code) > 1 and len(data) >= len(code):
@@ -127,17 +129,39 @@ def _offsets(texts: pa.Array) -> pa.Array:
     word = ~space
     edge = np.zeros(len(data) + 1, bool)  # where a text begins, no token goes on
     edge[begins] = True
-    first = np.flatnonzero(word & (np.concatenate([[True], space[:-1]]) | edge[:-1])) if len(data) else np.zeros(0, "int64")
-    last = np.flatnonzero(word & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1 if len(data) else first
+    first = np.flatnonzero(word & (np.concatenate([[True], space])[:-1] | edge[:-1]))
+    last = np.flatnonzero(word & (np.concatenate([space, [True]])[1:] | edge[1:])) + 1
     if len(first) and (last - first).max() >= MAX_TOKEN_BYTES:
+        return None
+    return data, word, first, last, begins, np.searchsorted(first, begins)
+
+
+def _bytes_of(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+
+
+def _terms(data: np.ndarray, word: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(np.concatenate([[0], np.cumsum(last - first)]).astype("int32")), pa.py_buffer(data[word]))
+
+
+def _offsets(texts: pa.Array) -> pa.Array:
+    """`offsets` of a slice."""
+    found = _placed(texts)
+    if found is None:
         return _offsets_by_row(texts)
+    data, word, first, last, begins, edges = found
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    edges = np.searchsorted(first, begins)
-    row = np.repeat(np.arange(len(sizes)), np.diff(edges))
-    base = chars[begins[row]]
-    terms = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.concatenate([[0], np.cumsum(last - first)]).astype("int32")), pa.py_buffer(data[word]))
-    places = np.arange(len(first)) - edges[row]
-    return _lists(edges, term=terms, **{k: pa.array(v, pa.int32()) for k, v in (("pos", places), ("start", chars[first] - base), ("end", chars[last] - base))})
+    base = chars[begins[np.repeat(np.arange(len(texts)), np.diff(edges))]]
+    places = np.arange(len(first)) - np.repeat(edges[:-1], np.diff(edges))
+    return _lists(edges, term=_terms(data, word, first, last), **{k: pa.array(v, pa.int32()) for k, v in (("pos", places), ("start", chars[first] - base), ("end", chars[last] - base))})
+
+
+def _whitespace(texts: pa.Array) -> pa.Array:
+    """`whitespace` of a slice."""
+    found = _placed(texts)
+    if found is None:
+        return pa.array([[p for x in TOKEN.findall(t or "") for p in _parts(x)] for t in texts.to_pylist()], pa.list_(pa.string()))
+    return pa.ListArray.from_arrays(pa.array(found[5], pa.int32()), _terms(*found[:4]))
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("pos", "start", "end"))])))
@@ -148,7 +172,7 @@ def offsets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     time in proportion to the text, and memory in proportion to a slice of it.
     """
     for texts in batches:
-        for a, b in _slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), SLICE_BYTES):
+        for a, b in _slices(_bytes_of(texts), SLICE_BYTES):
             yield _offsets(texts.slice(a, b - a))
 
 
@@ -157,7 +181,7 @@ def _inverted(tokens: pa.Array) -> pa.Array:
     sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype("int64")
     coded = tokens.flatten().dictionary_encode(null_encoding="encode")
     if not len(coded):
-        return _lists(np.zeros(len(sizes) + 1, "int64"), term=pa.array([], pa.string()), tf=pa.array([], pa.int32()), positions=pa.array([], pa.list_(pa.int32())))
+        return _lists(np.zeros(len(sizes) + 1, "int64"), term=pa.array([], pa.string()), tf=pa.array([], pa.int32()), positions=pa.array([], pa.list_(pa.int32())), len=pa.array([], pa.int32()))
     begins = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(len(sizes)), sizes)
     of_place, of_term = (int(x).bit_length() for x in (sizes.max(), len(coded.dictionary)))
@@ -168,14 +192,27 @@ def _inverted(tokens: pa.Array) -> pa.Array:
     group, until = group[first], np.concatenate([first, [len(coded)]])
     positions = pa.ListArray.from_arrays(pa.array(until, pa.int32()), pa.array(packed & ((1 << of_place) - 1), pa.int32()))
     terms = coded.dictionary.take(pa.array(group & ((1 << of_term) - 1))).cast(pa.string())
-    edges = np.concatenate([[0], np.cumsum(np.bincount(group >> of_term, minlength=len(sizes)))])
-    return _lists(edges, term=terms, tf=pa.array(np.diff(until), pa.int32()), positions=positions)
+    row = group >> of_term
+    edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+    return _lists(edges, term=terms, tf=pa.array(np.diff(until), pa.int32()), positions=positions, len=pa.array(sizes[row], pa.int32()))
+
+
+POSTINGS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("len", T.IntegerType())]))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])))
+@F.arrow_udf(POSTINGS)
 def inverted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """A document's terms, in no particular order, with their frequency and positions. All of a document's tokens are in
-    its row, so postings need no shuffle to be made; memory is that of a batch as it comes and of a slice's postings."""
+    """A document's terms, in no particular order, with their frequency, their positions and the number of all tokens.
+    All of a document's tokens are in its row, so postings need no shuffle to be made; memory is that of a batch as it
+    comes and of a slice's postings."""
     for tokens in batches:
         for a, b in _slices(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False), SLICE_TOKENS):
             yield _inverted(tokens.slice(a, b - a))
+
+
+@F.arrow_udf(POSTINGS)
+def inverted_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """`inverted` of the tokens that `whitespace` makes of a text."""
+    for texts in batches:
+        for a, b in _slices(_bytes_of(texts), SLICE_BYTES):
+            yield _inverted(_whitespace(texts.slice(a, b - a)))

@@ -150,10 +150,13 @@ class TableIndex:
         parts = []
         for n in names:
             kind = self.docs.schema[n].dataType
-            whole = not self.specs[n].tokenized and not isinstance(kind, T.ArrayType)
-            own = F.transform(f"__t_{n}", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.array(F.lit(0)).alias("positions"))) if whole else analysis.inverted(f"__t_{n}")
-            rows = self._tokens(self.docs, [n]).select(F.col(self.id_col).alias("doc_id"), F.size(f"__t_{n}").alias("len"), F.explode(own).alias("x"))
-            parts.append(rows.select(F.lit(n).alias("field"), "x.term", "doc_id", "x.tf", "x.positions", "len"))
+            if self.specs[n].tokenized and isinstance(kind, T.StringType):
+                df, own = self.docs, analysis.inverted_text(F.col(n))
+            else:
+                whole = not self.specs[n].tokenized and not isinstance(kind, T.ArrayType)
+                one = lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.array(F.lit(0)).alias("positions"), F.lit(1).alias("len"))
+                df, own = self._tokens(self.docs, [n]), F.transform(f"__t_{n}", one) if whole else analysis.inverted(f"__t_{n}")
+            parts.append(df.select(F.col(self.id_col).alias("doc_id"), F.explode(own).alias("x")).select(F.lit(n).alias("field"), "x.term", "doc_id", "x.tf", "x.positions", "x.len"))
         return reduce(DataFrame.unionByName, parts)
 
     def lengths(self, name: str) -> DataFrame:

@@ -112,7 +112,7 @@ def test_dictionary_statistics_invert_once(spark):
     """Documents are counted by their lengths, not by a second inversion and a set of (field, id)."""
     made = QUERIES["dictionary_stats"](spark, SF)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("inverted(") == 1
+    assert plan.count("inverted(") + plan.count("inverted_text(") == 1
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     words = [w for r in docs for w in (r["text"] or "").split()]
     text_ = next(r for r in made.collect() if r["field"] == "text")
@@ -136,3 +136,16 @@ def test_deleted_ids_go_to_the_postings(spark, tmp_path, monkeypatch):
         assert sorted(map(str, sent.collect())) == sorted(map(str, shuffled.collect())) and sent.count() == 20
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_inverted_as_their_tokens(spark):
+    """From bytes as from the tokens that column expressions make, cut ones included."""
+    draw = random.Random(9)
+    spaces = [s.decode() for s in analysis.SPACES] + ["\x1c", "\u200b", "\u180e"]
+    texts = [None, "", " ", "é" * 300 + " z", "x" * 511, "x" * 510, *("".join(draw.choice([*spaces, "a", "b", "é", "中", "😀"]) for _ in range(draw.randrange(40))) for _ in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, body string")
+    rows = docs.select("doc_id", analysis.inverted_text("body").alias("made"), analysis.inverted(analysis.whitespace(F.col("body"))).alias("want"), F.size(analysis.whitespace(F.col("body"))).alias("size")).collect()
+    assert len(rows) == len(texts) and sum(len(r["made"]) for r in rows) > 4000
+    for r in rows:
+        assert sorted(map(tuple, r["made"])) == sorted(map(tuple, r["want"])), r["doc_id"]
+        assert all(x["len"] == r["size"] for x in r["made"])
